@@ -86,9 +86,9 @@ def episode_stream(targets: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
     return (
         positive.withWatermark("instante", lateness)
-        .groupBy(*ENTITY, F.session_window("instante", "30 minutes 1 millisecond"))
+        .groupBy(*ENTITY, F.session_window("instante", "30 minutes"))
         .agg(F.count(F.lit(1)).alias("slots"))
-        .select(*ENTITY, F.col("session_window.start").alias("inicio"), "slots")
+        .select(*ENTITY, F.col("session_window.start").cast("timestamp_ntz").alias("inicio"), "slots")
     )
 
 
