@@ -117,46 +117,67 @@ def free_windows(forecast: DataFrame) -> DataFrame:
 
 
 def plant_summary(forecast: DataFrame) -> DataFrame:
-    """One row per plant and notice, unordered; `ranked` puts the most alerted plants first."""
-    has = F.bool_or(predicted())
+    """One row per plant and notice, unordered; `ranked` puts the most alerted plants first.
+
+    Half hours are folded into runs (alert or not), runs into plants: one shuffle by plant and
+    notice, and no join between summary and windows.
+    """
     extras = [c for c in ATTRIBUTES if c in forecast.columns]
-    totals = forecast.groupBy(*NOTICE).agg(
-        F.when(has, count_if(alerting()) / 2).alias("horas_alerta"),
-        F.when(has, count_if(free()) / 2).alias("horas_livres"),
-        F.min(F.when(alerting(), F.col("tau"))).alias("primeiro_alerta"),
-        F.max(F.when(alerting(), F.col("p_corte"))).alias("chance_max"),
-        has.alias("__has"),
-        *[
-            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("horizonte"))).alias(c)
-            for c in extras
-        ],
+    w = Window.partitionBy(*NOTICE).orderBy("horizonte")
+    rows = forecast.withColumn("__m", alerting()).withColumn(
+        "__turn", (F.col("__m") != F.lag("__m", 1, False).over(w)).cast("int")
     )
-    window = F.struct("inicio", "fim", "causa", "origem")
-    main = (
-        alert_windows(forecast)
-        .groupBy(*NOTICE)
+    first = F.when(F.col("__m"), F.col("tau"))
+    runs = (
+        rows.withColumn("bloco", F.sum("__turn").over(w))
+        .groupBy(*NOTICE, "bloco", "__m")
         .agg(
-            F.min_by(window, F.struct(-F.col("horas"), F.col("inicio"))).alias("w"),
-            F.count(F.lit(1)).alias("janelas"),
+            F.count(F.lit(1)).alias("n"),
+            count_if(free()).alias("livres"),
+            F.bool_or(predicted()).alias("tem"),
+            F.min(first).alias("inicio"),
+            plus_minutes(F.max(first), 30).alias("fim"),
+            F.max(F.when(F.col("__m"), F.col("p_corte"))).alias("chance_max"),
+            mode_or_mixed("causa_prevista").alias("causa"),
+            mode_or_mixed("origem_prevista").alias("origem"),
+            *[
+                F.min_by(
+                    F.struct(c, "horizonte"), F.when(F.col(c).isNotNull(), F.col("horizonte"))
+                ).alias(c)
+                for c in extras
+            ],
         )
     )
-    status = (
-        F.when(~F.col("__has"), F.lit(NO_FORECAST))
-        .when(F.col("horas_alerta") > 0, F.lit(IN_ALERT))
+    has = F.bool_or("tem")
+    alerted = F.when(F.col("__m"), F.col("n"))
+    window = F.struct("inicio", "fim", "causa", "origem")
+    longest = F.when(F.col("__m"), F.struct(-F.col("n"), F.col("inicio")))
+    hours = F.coalesce(F.sum(alerted), F.lit(0)) / 2
+    summary = runs.groupBy(*NOTICE).agg(
+        F.when(has, hours).alias("horas_alerta"),
+        F.when(has, F.sum("livres") / 2).alias("horas_livres"),
+        F.min("inicio").alias("primeiro_alerta"),
+        F.max("chance_max").alias("chance_max"),
+        F.when(~has, F.lit(NO_FORECAST))
+        .when(hours > 0, F.lit(IN_ALERT))
         .otherwise(F.lit(NO_ALERT))
+        .alias("status"),
+        F.min_by(window, longest).alias("w"),
+        F.count(alerted).alias("janelas"),
+        *[F.min_by(f"{c}.{c}", f"{c}.horizonte").alias(c) for c in extras],
     )
-    return totals.join(main, NOTICE, "left").select(
+    return summary.select(
         *NOTICE,
         "horas_alerta",
         "horas_livres",
         "primeiro_alerta",
         "chance_max",
-        status.alias("status"),
+        "status",
         F.col("w.inicio").alias("janela_inicio"),
         F.col("w.fim").alias("janela_fim"),
         F.col("w.causa").alias("motivo"),
         F.col("w.origem").alias("origem"),
-        F.coalesce("janelas", F.lit(0)).alias("janelas"),
+        "janelas",
         *extras,
     )
 

@@ -22,6 +22,7 @@ from gridcut.schemas import (
     SLOTS_PER_DAY,
     STATE,
 )
+from gridcut.session import stored
 
 CAUSE_FLAGS = [f"ordem_{c.lower()}" for c in PREDICTABLE_CAUSES]
 
@@ -202,7 +203,10 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     Plant and state features are joined while the data is still one row per entity and released
     day. Those rows then become 48 probes each, are stacked on the half-hour base, and rolling
     windows and the slot-level as-of run in one partitioning by (entity, slot) with one sort.
+    `base` is read three times (days, states, half hours): pass a stored table. The mapping has
+    one row per target day and is stored here, since seven parts of the plan read it.
     """
+    mapping = stored(mapping.coalesce(1), "dias_alvo")
     past = horizon(base, mapping)
     plants = _valid_days(_plant_windows(plant_days(past)), ENTITY, mapping, LOOKBACK_DAYS)
     states = _valid_days(_state_windows(past), STATE, mapping)

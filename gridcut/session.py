@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of an executor, unlike a cached block."""
+def stored(df: DataFrame, name: str = "tabela") -> DataFrame:
+    """Write an intermediate table once to the shared folder and continue from the files.
+
+    Used where a result is read several times: its lineage is cut, later reads prune columns and
+    push filters, and the loss of an executor costs nothing but the running task.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
