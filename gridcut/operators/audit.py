@@ -22,6 +22,8 @@ from gridcut.functions.scalars import (
     outside,
     unix_micros,
 )
+from gridcut.sources.readers import naive_time, read_parquet
+from gridcut.sources.sinks import exists
 from gridcut.schemas import (
     CAUSES,
     DATASETS,
@@ -367,11 +369,7 @@ def audit_status(flags: DataFrame) -> DataFrame:
 
 def file_status(spark: SparkSession, path: str, dataset: str) -> str:
     """`missing`, `unreadable`, `invalid_schema`, `issues` or `ok` for one file of the contract."""
-    from gridcut.sources.readers import naive_time, read_parquet
-
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    if not exists(spark, path):
         return "missing"
     try:
         df = naive_time(read_parquet(spark, path))

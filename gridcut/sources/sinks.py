@@ -46,3 +46,8 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.option("mergeSchema", True).parquet(path).drop(NOTICE_PARTITION)
     )
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gridcut.schemas import ENTITY, OBS_KEY
-from gridcut.sources.sinks import upsert_notices
+from gridcut.sources.sinks import exists, upsert_notices
 
 MONTH_PARTITION = "ano_mes_chave"
 
@@ -37,9 +37,8 @@ def ingest_republished(
         fresh = batch.withColumn(MONTH_PARTITION, months)
         touched = fresh.select(MONTH_PARTITION).distinct()
         rows = fresh
-        current = _read_or_none(spark, table)
-        if current is not None:
-            rows = current.join(F.broadcast(touched), MONTH_PARTITION, "left_semi").unionByName(
+        if exists(spark, table):
+            rows = spark.read.parquet(table).join(F.broadcast(touched), MONTH_PARTITION, "left_semi").unionByName(
                 fresh, allowMissingColumns=True
             )
         merged = rows.groupBy(*OBS_KEY, MONTH_PARTITION).agg(
@@ -68,13 +67,6 @@ def ingest_republished(
     )
 
 
-def _read_or_none(spark: SparkSession, table: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(table)
-
-
 def episode_stream(targets: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Cut episodes on a stream: sessions of positive half hours at most 30 minutes apart.
 
