@@ -122,16 +122,18 @@ def test_a_valid_forecast_passes(valid):
     assert K.validate_forecast(valid.withColumn("extra", F.lit(1))).count() == 48
 
 
-def test_each_rule_finds_its_damage(spark, valid):
-    rules = None
+def test_each_rule_finds_its_damage(valid):
+    """One damaged copy of a valid row per rule, each under its own entity."""
     row = valid.where("horizonte = 6 and causa_prevista = 'ENE'").limit(1)
+    cases = None
     for name, (column, damage) in DAMAGE.items():
-        source = valid.limit(2) if name == "duplicate_key" else row
-        broken = source.withColumn(column, damage(F.col(column)))
-        found = K.contract_violations(broken).withColumn("caso", F.lit(name))
-        rules = found if rules is None else rules.unionByName(found)
-    hits = {(r["caso"], r["regra"]): r["linhas"] for r in rules.where("linhas > 0").collect()}
-    assert all(hits.get((name, name)) for name in DAMAGE), [n for n in DAMAGE if not hits.get((n, n))]
+        broken = row.withColumn("id_ons", F.lit(name)).withColumn(column, damage(F.col(column)))
+        if name == "duplicate_key":
+            broken = broken.unionByName(broken)
+        cases = broken if cases is None else cases.unionByName(broken)
+    hits = {r["regra"]: r["linhas"] for r in K.contract_violations(cases).collect()}
+    assert [name for name in DAMAGE if not hits[name]] == []
+    assert hits["duplicate_key"] == 2 and hits["null_key"] == 1
 
 
 def test_first_broken_rule_and_schema_errors_are_reported(valid):
