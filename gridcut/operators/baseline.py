@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcut.functions.scalars import half_hour_slot, plus_minutes
+from gridcut.functions.scalars import half_hour_slot, mapped, plus_minutes
 from gridcut.operators.contract import validate_forecast
 from gridcut.schemas import (
     ATTRIBUTES,
@@ -59,19 +59,34 @@ def check_forecast_time(t0: datetime, cutoff: datetime, allow_reserved: bool) ->
         raise ValueError(f"data from {RESERVED_FROM} on is reserved for the final validation")
 
 
-def latest_per_slot(history: DataFrame, cutoff: datetime) -> DataFrame:
-    """Latest order, volume and cause per entity and slot, each from its own most recent row."""
-    rows = released(history, cutoff).withColumn("slot", half_hour_slot("din_instante"))
+CODES = {cause: code for code, cause in enumerate(PREDICTABLE_CAUSES, start=1)}
+
+
+def recent_rows(history: DataFrame, cutoff: datetime) -> DataFrame:
+    """The 28 days before the cutoff; the range reaches the scan, older files are not read."""
+    first = moment(cutoff - timedelta(days=HISTORY_DAYS))
+    return released(history, cutoff).where(F.col("din_instante") >= first)
+
+
+def latest_per_slot(recent: DataFrame) -> DataFrame:
+    """Latest order, volume and cause per entity and slot, each from its own most recent row.
+
+    Causes travel as numbers: all buffers have fixed length, so this is a hash aggregate that
+    keeps one candidate per slot on the map side.
+    """
     ts = F.col("din_instante")
-    recent = ts >= moment(cutoff - timedelta(days=HISTORY_DAYS))
-    usable = recent & F.col("volume_mwmed").isNotNull()
-    caused = recent & F.col("causa").isin(*PREDICTABLE_CAUSES)
-    observed = F.struct("corte_positivo", "volume_mwmed", "din_instante")
-    return rows.groupBy(*ENTITY_SLOT).agg(
-        F.max_by("restricao_registrada", F.when(recent, ts)).alias("restricao"),
-        F.max_by(observed, F.when(usable, ts)).alias("visto"),
-        F.max_by("causa", F.when(caused, ts)).alias("causa"),
-        F.count_distinct(F.when(recent, ts)).alias("presentes"),
+    usable = F.when(F.col("volume_mwmed").isNotNull(), ts)
+    code = mapped("causa", CODES)
+    return (
+        recent.withColumn("slot", half_hour_slot("din_instante"))
+        .groupBy(*ENTITY_SLOT)
+        .agg(
+            F.max_by("restricao_registrada", ts).alias("restricao"),
+            F.max_by("corte_positivo", usable).alias("corte_positivo"),
+            F.max_by("volume_mwmed", usable).alias("volume_mwmed"),
+            F.max(usable).alias("din_instante"),
+            F.max_by(code, F.when(code.isNotNull(), ts)).alias("causa"),
+        )
     )
 
 
@@ -86,15 +101,29 @@ def same_slot_baseline(
 ) -> DataFrame:
     """48 half hours per known entity in the forecast contract.
 
-    One aggregation over the history gives at most 48 rows per entity; these are folded into one
-    map per entity and unfolded over the 48 horizons, so the grid needs no join.
+    The recent rows shrink to at most 48 per entity; these are folded into one map per entity and
+    unfolded over the 48 horizons, so the grid itself needs no join.
     """
     check_forecast_time(t0, cutoff, allow_reserved)
-    latest = latest_per_slot(history, cutoff)
-    entry = F.struct("slot", F.struct("restricao", "visto", "causa"))
-    per_entity = latest.groupBy(*ENTITY).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("__slots"),
-        (F.sum("presentes") / (HISTORY_DAYS * SLOTS_PER_DAY)).alias("cobertura_historico"),
+    recent = recent_rows(history, cutoff)
+    measures = ["restricao", "corte_positivo", "volume_mwmed", "din_instante", "causa"]
+    entry = F.struct("slot", F.struct(*measures))
+    folded = (
+        latest_per_slot(recent)
+        .groupBy(*ENTITY)
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("__slots"))
+    )
+    coverage = recent.groupBy(*ENTITY).agg(
+        (F.count_distinct("din_instante") / (HISTORY_DAYS * SLOTS_PER_DAY)).alias(
+            "cobertura_historico"
+        )
+    )
+    per_entity = (
+        released(history, cutoff)
+        .select(*ENTITY)
+        .distinct()
+        .join(folded, ENTITY, "left")
+        .join(coverage, ENTITY, "left")
     )
     start = moment(t0)
     grid = (
@@ -102,10 +131,9 @@ def same_slot_baseline(
         .withColumn("tau", plus_minutes(start, (F.col("h") - 1) * 30))
         .withColumn("s", F.try_element_at("__slots", half_hour_slot("tau")))
     )
-    seen = F.col("s.visto")
-    p = seen.getField("corte_positivo").cast("double")
-    volume = seen.getField("volume_mwmed")
-    cause = F.col("s.causa")
+    p = F.col("s.corte_positivo").cast("double")
+    volume = F.col("s.volume_mwmed")
+    cause = mapped("s.causa", {code: cause for cause, code in CODES.items()})
     columns = {
         "fonte": F.col("fonte"),
         "id_ons": F.col("id_ons"),
@@ -130,7 +158,7 @@ def same_slot_baseline(
         "modelo_id": F.lit(MODEL_ID),
         "corte_dados": moment(cutoff),
         "cenario_disponibilidade": F.lit(SCENARIO),
-        "instante_observacao": seen.getField("din_instante"),
+        "instante_observacao": F.col("s.din_instante"),
         "cobertura_historico": F.coalesce("cobertura_historico", F.lit(0.0)),
         "gerado_em": moment(generated_at or datetime.now()),
     }

@@ -215,19 +215,12 @@ def forecast_map(
 
 def effective_cutoffs(targets: DataFrame, history: DataFrame, spine: DataFrame) -> DataFrame:
     """Emission cutoff, moved back to the last day that is published completely."""
-    latest = F.col("__max")
+    latest = F.max("din_instante")
     full = F.when(
         F.hour(latest) * 60 + F.minute(latest) >= 23 * 60 + 30, F.date_add(F.to_date(latest), 1)
     ).otherwise(F.to_date(latest))
-    published = history.agg(F.max("din_instante").alias("__max")).select(
-        at_midnight(full).alias("__pub"), F.lit(1).alias("__one")
-    )
-    rule = emission_cutoffs(targets, spine).withColumn("__one", F.lit(1))
-    return (
-        rule.join(F.broadcast(published), "__one", "left")
-        .withColumn("corte", F.least("corte", "__pub"))
-        .drop("__one", "__pub")
-    )
+    published = history.agg(at_midnight(full)).scalar()
+    return emission_cutoffs(targets, spine).withColumn("corte", F.least("corte", published))
 
 
 def pending_days(archive: DataFrame, now: datetime, limit: int = 7) -> DataFrame:

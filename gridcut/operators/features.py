@@ -96,8 +96,32 @@ def rolling_mean(column: str, keys: Sequence[str], days: int) -> Column:
     return F.avg(column).over(day_window(keys, days))
 
 
+def rolling_share(flag: str, keys: Sequence[str], days: int) -> Column:
+    """Mean of a 0/1 column over a date range, as a difference of two running totals.
+
+    Running totals only grow, so a row costs the same whatever the window length; a sliding frame
+    would add up the whole window again for every row. Totals of 0/1 values are whole numbers,
+    hence the difference is exact (measures keep the sliding mean).
+    """
+    w = Window.partitionBy(*keys).orderBy("__n")
+    now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rangeBetween(Window.unboundedPreceding, -days)
+
+    def gained(agg) -> Column:
+        zero = F.lit(0)
+        return F.coalesce(agg(flag).over(now), zero) - F.coalesce(agg(flag).over(before), zero)
+
+    return F.try_divide(gained(F.sum), gained(F.count))
+
+
+SHARES = {"corte", "restricao", "ordem_sis", *CAUSE_FLAGS}
+
+
 def slot_windows() -> dict[str, Column]:
-    out = {n: rolling_mean(c, ENTITY_SLOT, d) for n, (c, d) in SLOT_WINDOWS.items()}
+    out = {
+        n: (rolling_share if c in SHARES else rolling_mean)(c, ENTITY_SLOT, d)
+        for n, (c, d) in SLOT_WINDOWS.items()
+    }
     return out | {n: F.col(c) for n, c in SLOT_LAST.items()}
 
 
@@ -109,21 +133,40 @@ def slot_table(base: DataFrame) -> DataFrame:
     )
 
 
-def plant_days(base: DataFrame) -> DataFrame:
-    """One row per entity and day: level, last observed half hour, coverage and state."""
-    return base.groupBy(*ENTITY_DAY).agg(
-        F.avg("corte").alias("usina_nivel_ultimo"),
-        F.avg("volume").alias("usina_vol_ultimo"),
-        F.max_by("corte", "slot").alias("ultimo_valor_corte"),
-        F.max_by("volume", "slot").alias("ultimo_valor_volume"),
-        F.max_by("id_estado", "slot").alias("id_estado"),
-        F.count(F.lit(1)).alias("__rows"),
+DAY_SUMS = ["corte", "volume", *CAUSE_FLAGS]
+
+
+def entity_days(base: DataFrame) -> DataFrame:
+    """One row per entity, day and state: the sums and counts all day-level features come from.
+
+    Grouping by the state as well keeps every buffer of fixed length, so the half-hour rows go
+    through a hash aggregate with map-side reduction; strings are only compared afterwards.
+    """
+    return base.groupBy(*ENTITY_DAY, "id_estado").agg(
+        *[F.sum(c).alias(f"s_{c}") for c in DAY_SUMS],
+        *[F.count(c).alias(f"n_{c}") for c in DAY_SUMS],
+        F.max("slot").alias("ultimo"),
+        F.max_by("corte", "slot").alias("corte_ultimo"),
+        F.max_by("volume", "slot").alias("volume_ultimo"),
+        F.count(F.lit(1)).alias("linhas"),
     )
 
 
+def _mean_of(c: str) -> Column:
+    return F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}"))
+
+
 def _plant_windows(days: DataFrame) -> DataFrame:
     full = HISTORY_DAYS * SLOTS_PER_DAY
-    return with_day_number(days).withColumns(
+    daily = days.groupBy(*ENTITY_DAY).agg(
+        _mean_of("corte").alias("usina_nivel_ultimo"),
+        _mean_of("volume").alias("usina_vol_ultimo"),
+        F.max_by("corte_ultimo", "ultimo").alias("ultimo_valor_corte"),
+        F.max_by("volume_ultimo", "ultimo").alias("ultimo_valor_volume"),
+        F.max_by("id_estado", "ultimo").alias("id_estado"),
+        F.sum("linhas").alias("__rows"),
+    )
+    return with_day_number(daily).withColumns(
         {
             "usina_nivel_7d": rolling_mean("usina_nivel_ultimo", ENTITY, 7),
             "cobertura_28d": F.sum("__rows").over(day_window(ENTITY, HISTORY_DAYS)) / full,
@@ -132,15 +175,16 @@ def _plant_windows(days: DataFrame) -> DataFrame:
 
 
 def plant_table(base: DataFrame) -> DataFrame:
-    return _plant_windows(plant_days(base)).select(
+    """Level, last observed half hour, 7-day level and 28-day coverage per entity and day."""
+    return _plant_windows(entity_days(base)).select(
         *ENTITY, F.col("dia").alias("ultimo_dia"), *PLANT_COLUMNS
     )
 
 
-def _state_windows(base: DataFrame) -> DataFrame:
-    days = base.groupBy(*STATE, "dia").agg(
-        F.avg("corte").alias("estado_nivel_ultimo"),
-        *[F.avg(flag).alias(flag) for flag in CAUSE_FLAGS],
+def _state_windows(days: DataFrame) -> DataFrame:
+    daily = days.groupBy(*STATE, "dia").agg(
+        _mean_of("corte").alias("estado_nivel_ultimo"),
+        *[_mean_of(flag).alias(flag) for flag in CAUSE_FLAGS],
     )
     windows = {
         "estado_nivel_7d": rolling_mean("estado_nivel_ultimo", STATE, 7),
@@ -148,11 +192,13 @@ def _state_windows(base: DataFrame) -> DataFrame:
     }
     for cause, flag in zip(PREDICTABLE_CAUSES, CAUSE_FLAGS, strict=True):
         windows[f"estado_{cause.lower()}_7d"] = rolling_mean(flag, STATE, 7)
-    return with_day_number(days).withColumns(windows)
+    return with_day_number(daily).withColumns(windows)
 
 
 def state_table(base: DataFrame) -> DataFrame:
-    return _state_windows(base).select(*STATE, F.col("dia").alias("ultimo_dia"), *STATE_COLUMNS)
+    return _state_windows(entity_days(base)).select(
+        *STATE, F.col("dia").alias("ultimo_dia"), *STATE_COLUMNS
+    )
 
 
 def _valid_days(
@@ -165,27 +211,26 @@ def _valid_days(
     `reach` bounds how old the row may be.
     """
     following = F.lead("dia").over(Window.partitionBy(*keys).orderBy("__n"))
+    last = released.agg(F.max("ultimo_dia")).scalar()
     stop = F.least(
-        F.coalesce(F.date_sub(following, 1), F.col("__last")),
-        F.col("__last"),
+        F.coalesce(F.date_sub(following, 1), last),
+        last,
         *([F.date_add("dia", reach - 1)] if reach else []),
     )
     days = released.select("ultimo_dia").distinct()
-    ends = released.agg(F.max("ultimo_dia").alias("__last")).withColumn("__one", F.lit(1))
     spread = (
-        windowed.withColumn("__one", F.lit(1))
-        .join(F.broadcast(ends), "__one")
-        .withColumn("__stop", stop)
+        windowed.withColumn("__stop", stop)
         .where(F.col("__stop") >= F.col("dia"))
         .withColumn("ultimo_dia", F.explode(F.sequence("dia", "__stop")))
-        .drop("__one", "__last", "__stop", "__n")
+        .drop("__stop", "__n")
     )
     return spread.join(F.broadcast(days), "ultimo_dia", "left_semi")
 
 
 def entities_at(base: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entities seen in the 91 days up to each released day, with their latest state."""
-    seen = base.groupBy(*ENTITY_DAY).agg(F.max_by("id_estado", "slot").alias("id_estado"))
+    per_state = base.groupBy(*ENTITY_DAY, "id_estado").agg(F.max("slot").alias("ultimo"))
+    seen = per_state.groupBy(*ENTITY_DAY).agg(F.max_by("id_estado", "ultimo").alias("id_estado"))
     at = _valid_days(with_day_number(seen), ENTITY, mapping, LOOKBACK_DAYS)
     return at.select("ultimo_dia", *ENTITY, "id_estado")
 
@@ -203,13 +248,14 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     Plant and state features are joined while the data is still one row per entity and released
     day. Those rows then become 48 probes each, are stacked on the half-hour base, and rolling
     windows and the slot-level as-of run in one partitioning by (entity, slot) with one sort.
-    `base` is read three times (days, states, half hours): pass a stored table. The mapping has
-    one row per target day and is stored here, since seven parts of the plan read it.
+    `base` is read twice (day sums and half hours): pass a stored table. Two small tables are
+    stored on the way: the mapping (one row per target day) and the day sums per entity.
     """
     mapping = stored(mapping.coalesce(1), "dias_alvo")
     past = horizon(base, mapping)
-    plants = _valid_days(_plant_windows(plant_days(past)), ENTITY, mapping, LOOKBACK_DAYS)
-    states = _valid_days(_state_windows(past), STATE, mapping)
+    days_seen = stored(entity_days(past), "dias_entidade")
+    plants = _valid_days(_plant_windows(days_seen), ENTITY, mapping, LOOKBACK_DAYS)
+    states = _valid_days(_state_windows(days_seen), STATE, mapping)
     known = plants.select("ultimo_dia", *ENTITY, "id_estado", *PLANT_COLUMNS).join(
         states.select("ultimo_dia", *STATE, *STATE_COLUMNS), ["ultimo_dia", *STATE], "left"
     )

@@ -7,9 +7,14 @@ NOTICE_PARTITION = "t0_chave"
 
 
 def write_sorted(df: DataFrame, path: str, *order: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Range-partitioned and sorted files: ordered as a whole, no single writer task."""
-    placed = df.repartition(*partition_by) if partition_by else df.repartitionByRange(*order)
-    writer = placed.sortWithinPartitions(*partition_by, *order).write.mode("overwrite")
+    """Range-partitioned and sorted files: ordered as a whole, no single writer task.
+
+    Ranges run over partition columns and order together, so one large source is written by many
+    tasks and each folder still gets few files.
+    """
+    keys = (*partition_by, *order)
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    writer = placed.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -32,7 +37,7 @@ def upsert_notices(notices: DataFrame, path: str) -> None:
         raise ValueError("empty notice: nothing to write")
     keyed = notices.withColumn(NOTICE_PARTITION, F.date_format("t0", "yyyyMMddHHmm"))
     (
-        keyed.repartition(NOTICE_PARTITION, "fonte", "id_ons")
+        keyed.repartitionByRange(NOTICE_PARTITION, "fonte", "id_ons")
         .sortWithinPartitions(NOTICE_PARTITION, "fonte", "id_ons")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

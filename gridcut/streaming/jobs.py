@@ -52,7 +52,7 @@ def ingest_republished(
         flat.write.mode("overwrite").parquet(staging)
         (
             spark.read.parquet(staging)
-            .repartition(MONTH_PARTITION, *ENTITY)
+            .repartitionByRange(MONTH_PARTITION, *ENTITY)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(MONTH_PARTITION)
