@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 RESOLUTION = 65_536
 
 
-def _range_of(value: Column) -> Column:
-    """Non-decreasing whole number of a double: logarithmic value ranges, about 1.5e-5 wide at 0."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION)
+BEFORE_ALL = -(2**60)
+
+
+def _ranges(value: Column) -> tuple[Column, Column]:
+    """Two whole numbers that never decrease with the value: a value range and a part of it.
+
+    Ranges are about 1.5e-5 wide at zero and grow with the magnitude. The part splits by relative
+    size (1/4096 of a doubling), so scores crowded next to zero are spread as well.
+    """
+    coarse = F.floor(F.signum(value) * F.log1p(F.abs(value)) * RESOLUTION)
+    relative = F.floor(F.log2(F.abs(value)) * 4096)
+    fine = F.when(value > 0, relative).when(value < 0, -relative).otherwise(F.lit(BEFORE_ALL))
+    return coarse, fine
 
 
 def running_totals(
@@ -30,12 +40,14 @@ def running_totals(
     """Running sum of columns in `order` within `keys`, plus `<name>_all`, the group's sum.
 
     `totals` maps new column -> summed column. `(keys, order, ties)` must be unique; `ties` break
-    equal `order` values ascending. The table of range totals is bounded by the resolution (45 000
-    ranges for scores in [0, 1]) whatever the number of rows. Both uses of `df` read the same
-    columns, so its last shuffle is run once.
+    equal `order` values ascending. The table of range totals is bounded by the resolution (some
+    ten thousand ranges for scores in [0, 1]) whatever the number of rows. Both uses of `df` read
+    the same columns, so its last shuffle is run once.
     """
-    rows = df.withColumn("__c", _range_of(F.col(order)))
-    per_range = rows.groupBy(*keys, "__c").agg(
+    coarse, fine = _ranges(F.col(order))
+    rows = df.withColumns({"__c": coarse, "__d": fine})
+    group = [*keys, "__c", "__d"]
+    per_range = rows.groupBy(*group).agg(
         *[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()]
     )
 
@@ -43,22 +55,21 @@ def running_totals(
         return F.col(c).desc() if descending else F.col(c).asc()
 
     across_all = Window.partitionBy(*keys)
-    across = across_all.orderBy(arrow("__c")).rowsBetween(
+    across = across_all.orderBy(arrow("__c"), arrow("__d")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = per_range.select(
-        *keys,
-        "__c",
+        *group,
         *[(F.sum(f"__s_{n}").over(across) - F.col(f"__s_{n}")).alias(f"__o_{n}") for n in totals],
         *[F.sum(f"__s_{n}").over(across_all).alias(f"{n}_all") for n in totals],
     )
     inside = (
-        Window.partitionBy(*keys, "__c")
+        Window.partitionBy(*group)
         .orderBy(arrow(order), *[F.col(t).asc() for t in ties])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(offsets, [*keys, "__c"])
+        rows.join(offsets, group)
         .select(
             *df.columns,
             *[(F.col(f"__o_{n}") + F.sum(c).over(inside)).alias(n) for n, c in totals.items()],

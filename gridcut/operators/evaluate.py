@@ -222,6 +222,7 @@ def energy_coverage(scored: DataFrame, thresholds: dict[str, float]) -> DataFram
 
     `scored` has observed `corte`, `energia_mwh` and the forecast `p_corte` (NULL = no forecast).
     The control gives the history the same number of alert half hours and is cut exactly there.
+    The rows are read several times: pass a stored table.
     """
     rows = scored.withColumn("alerta", is_true(F.col("p_corte") >= threshold_of(thresholds)))
     cut, alert = F.col("corte"), F.col("alerta")
