@@ -11,6 +11,7 @@ from gridcut.llm.common import fold_of
 from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.line_dedup import drop_frequent_lines
 from gridcut.llm.quality import fit_quality, score_quality
+from gridcut.llm.simhash import near_duplicates
 from gridcut.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -18,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_verdict(match_items(docs, table(spark, sf_dir, "benchmark")))
@@ -86,6 +94,7 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
