@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridcut.llm.common import fold_of
 from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.line_dedup import drop_frequent_lines
+from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
 from gridcut.llm.simhash import near_duplicates
 from gridcut.llm.toxicity import fit_toxicity, score_toxicity
@@ -19,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("uid")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -94,6 +106,7 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
