@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gridcut.llm.common import fold_of
 from gridcut.llm.decontaminate import match_items, with_verdict
+from gridcut.llm.embed_dedup import near_vectors
 from gridcut.llm.line_dedup import drop_frequent_lines
 from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
+from gridcut.llm.sharding import shard_documents
 from gridcut.llm.simhash import near_duplicates
 from gridcut.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -105,6 +107,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.k IS NOT NULL) AS n
 FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 """
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shard_documents(table(spark, sf_dir, "documents"))
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, v FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE label IS NOT NULL AND len(v) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v])
+    AND list_bool_or([x <> 0 FOR x IN v])),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM reached r JOIN p ON p.a = r.id),
+named AS (SELECT id, min(c) AS c FROM reached GROUP BY id),
+linked AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM embeddings v JOIN named ON named.id = v.vec_id LEFT JOIN linked ON linked.a = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
@@ -112,5 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_sharding": op8_sharding,
+    "op9_embed_dedup": op9_embed_dedup,
 }
-CHECKS: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_dedup": OP6_SQL}
+CHECKS: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_embed_dedup": OP9_SQL}

@@ -18,7 +18,8 @@ def shared_keys(rows: DataFrame, key: str, member: str, largest: int = LARGEST_R
 
     Keys of up to `largest` rows are one run. A larger key is cut by the hash of `member` into pieces
     of about half that, and each row goes to the runs of its piece with every piece, so a run stays
-    bounded. Rows alone with their key are gone after the count. `rows` is read twice.
+    bounded. `_own` is the row's piece; two rows of one piece meet in several runs, in one of which
+    `_alone` is true. Rows alone with their key are gone after the count. `rows` is read twice.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     pieces = F.when(F.col("_n") <= largest, 1).otherwise(F.ceil(F.col("_n") / (largest // 2))).cast("int")
@@ -30,7 +31,8 @@ def shared_keys(rows: DataFrame, key: str, member: str, largest: int = LARGEST_R
         .withColumn("_own", own)
         .withColumn("_other", F.explode(others))
         .withColumn("_run", F.least("_own", "_other") * F.col("_pieces") + F.greatest("_own", "_other"))
-        .drop("_n", "_own", "_other", "_pieces")
+        .withColumn("_alone", F.col("_own") == F.col("_other"))
+        .drop("_n", "_other", "_pieces")
     )
 
 
@@ -73,6 +75,15 @@ def pairs_in_runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step += 1
 
 
+def run_numbers(whole: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row that changes where a run ends."""
+    changed = np.zeros(whole.num_rows, bool)
+    for k in keys:
+        col = whole.column(k).to_numpy()
+        changed[1:] |= col[1:] != col[:-1]
+    return np.cumsum(changed)
+
+
 def by_run(rows: DataFrame, keys: list[str], order: list[str], work: Callable, schema: str) -> DataFrame:
     """`work` gets tables of whole runs and gives record batches; runs are dealt out by hash and sorted."""
 

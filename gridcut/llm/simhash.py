@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from gridcut.llm.common import append_columns, stored
 from gridcut.llm.components import Forest, components
-from gridcut.llm.runs import by_run, pairs_in_runs, shared_keys
+from gridcut.llm.runs import by_run, pairs_in_runs, run_numbers, shared_keys
 
 SEED, PIVOTS = 42, 24
 
@@ -101,7 +101,7 @@ def linking_pairs(distinct: DataFrame, bits: int = 4, blocks: int = 6) -> DataFr
         code = fp.view(np.uint64)
         apart = np.frombuffer(b"".join(whole.column("apart").to_pylist()), np.uint8).reshape(-1, PIVOTS).astype(np.int8)
         forest, a, b = Forest(), [], []
-        for i, j in pairs_in_runs(_run_numbers(whole, ["key", "_run"])):
+        for i, j in pairs_in_runs(run_numbers(whole, ["key", "_run"])):
             for first in range(0, PIVOTS, 4):
                 near = np.abs(apart[i, first : first + 4] - apart[j, first : first + 4]).max(axis=1) <= bits
                 i, j = i[near], j[near]
@@ -115,14 +115,6 @@ def linking_pairs(distinct: DataFrame, bits: int = 4, blocks: int = 6) -> DataFr
     return by_run(runs, ["key", "_run"], ["fingerprint"], work, "a long, b long")
 
 
-def _run_numbers(whole: pa.Table, keys: list[str]) -> np.ndarray:
-    changed = np.zeros(whole.num_rows, bool)
-    for k in keys:
-        col = whole.column(k).to_numpy()
-        changed[1:] |= col[1:] != col[:-1]
-    return np.cumsum(changed)
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = 4, blocks: int = 6
 ) -> DataFrame:
