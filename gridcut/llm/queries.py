@@ -10,18 +10,42 @@ from pyspark.sql import functions as F
 from gridcut.llm.common import fold_of
 from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.embed_dedup import near_vectors
+from gridcut.llm.html_text import main_text
 from gridcut.llm.line_dedup import drop_frequent_lines
 from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
 from gridcut.llm.sharding import shard_documents
 from gridcut.llm.simhash import near_duplicates
 from gridcut.llm.toxicity import fit_toxicity, score_toxicity
+from gridcut.llm.warc import archive_folder, read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(table(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_archives(index).drop("url")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+d AS (
+  SELECT page_id, strlen(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS f FROM p),
+parts AS (
+  SELECT page_id, k, CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INT), 5) AS BIGINT) AS v
+  FROM d, (SELECT unnest(range(32)) AS k)),
+coded AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((v >> CAST(15 - 5 * (k % 4) AS INT)) & 31 AS INT) + 1, 1), '' ORDER BY k) AS payload_digest
+  FROM parts GROUP BY page_id)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM d JOIN coded USING (page_id)
+"""
+
+
 def word_tokenizer() -> str:
     """The tokenizer file that the packing query uses."""
     import public_tokenizers
@@ -140,7 +164,12 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS k
 FROM embeddings v JOIN named ON named.id = v.vec_id LEFT JOIN linked ON linked.a = v.vec_id
 """
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
@@ -149,5 +178,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_embed_dedup": op9_embed_dedup,
+    "op10_html_text": op10_html_text,
+}
+CHECKS: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_embed_dedup": OP9_SQL,
 }
-CHECKS: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_embed_dedup": OP9_SQL}
