@@ -3,23 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridcut.llm.common import stored
+from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.line_dedup import drop_frequent_lines
+from gridcut.llm.packing import pack
+from gridcut.llm.quality import fit_quality, score_quality
+from gridcut.llm.queries import table, word_tokenizer
+from gridcut.llm.simhash import keep_one
 
-#: Stages can't be expressed in SQL as a whole: the first is a learned classifier.
+#: SQL can't express the stages: the first is a learned classifier. Tests compare with plain Python.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts, unchanged. It learns from this stage's own documents."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_frequent_lines(docs).select(*docs.columns)
+    """All documents without their frequent lines; n_chars follows the text."""
+    kept = drop_frequent_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, unchanged."""
+    found = with_verdict(match_items(docs, table(spark, sf_dir, "benchmark")))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack(docs, word_tokenizer()).drop("uid")
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("quality", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
