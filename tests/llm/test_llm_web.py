@@ -103,13 +103,13 @@ def test_pages_without_article_lose_what_their_host_repeats(spark):
     rnd = random.Random(3)
     own = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(40)) for _ in range(12)]
     shared = "this line of twelve words stands on every page of the host"
-    page = "<html><body><div>{0}</div><div>{1}</div><nav>x</nav><div>start {0} end</div><p>short one</p></body></html>"
-    rows = [(k, f"https://Host.example/{k}", page.format(shared, t), "x") for k, t in enumerate(own)]
-    rows += [(100 + k, f"https://other.example/{k}", page.format(shared, t), "x") for k, t in enumerate(own[:2])]
+    page = "<html><body><div>{0}</div><div>{1}</div><nav>x</nav><div>s{2} {0} e{2}</div><p>short one</p></body></html>"
+    rows = [(k, f"https://Host.example/{k}", page.format(shared, t, k), "x") for k, t in enumerate(own)]
+    rows += [(100 + k, f"https://other.example/{k}", page.format(shared, t, k), "x") for k, t in enumerate(own[:2])]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     for k, t in enumerate(own):
-        assert got[k] == f"{t}\nstart end\nshort one"
-    assert got[100] == f"{shared}\n{own[0]}\nstart {shared} end\nshort one"
+        assert got[k] == f"{t}\ns{k} e{k}\nshort one"
+    assert got[100] == f"{shared}\n{own[0]}\ns0 {shared} e0\nshort one"
 
 
 def test_repeated_runs_equal_brute_force():
