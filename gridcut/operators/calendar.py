@@ -223,12 +223,13 @@ def effective_cutoffs(targets: DataFrame, history: DataFrame, spine: DataFrame)
     return emission_cutoffs(targets, spine).withColumn("corte", F.least("corte", published))
 
 
-def pending_days(archive: DataFrame, now: datetime, limit: int = 7) -> DataFrame:
-    """Target days still without a notice, at most `limit`; tomorrow counts from 20:00 on."""
+def pending_days(archive: DataFrame, now: datetime) -> DataFrame:
+    """All target days after the newest notice; tomorrow counts from 20:00 on. Without any notice it
+    is the last such day."""
     late = now.hour * 60 + now.minute >= EMISSION_MINUTE
     final = F.date_add(F.lit(now.date()), 1 if late else 0)
     newest = F.date_add(F.to_date(F.max("t0")), 1)
-    start = F.greatest(F.coalesce(newest, final), F.date_sub(final, limit - 1))
+    start = F.coalesce(newest, final)
     return (
         archive.agg(start.alias("a"), final.alias("b"))
         .where("a <= b")

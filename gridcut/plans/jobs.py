@@ -38,7 +38,11 @@ def audit_tables(df: DataFrame, sources: Sequence[str], detail: bool = False) ->
 
 
 def descriptive_tables(targets: DataFrame) -> dict:
-    """The descriptive report: aggregates, episodes, persistence, panel, quality, exceptions."""
+    """The descriptive report: aggregates, episodes, persistence, panel, quality, exceptions.
+
+    Repeated keys fail it before anything is described.
+    """
+    descriptive.check_keys(targets)
     dated = descriptive.with_calendar(targets)
     eps = stored(descriptive.episodes(targets), "episodios")
     entity = descriptive.aggregate_by(dated, ["fonte", "id_ons"])
@@ -167,7 +171,7 @@ def emit_pending(
         known = sinks.read_notices(spark, archive)
     else:
         known = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("t0"))
-    days = [r["dia"] for r in pending_days(known, now).collect()]  # at most seven rows
+    days = [r["dia"] for r in pending_days(known, now).collect()]  # one row for each civil day
     if not days:
         return []
     history = stored(readers.read_republished(spark, files), "publicado")

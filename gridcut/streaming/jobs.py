@@ -1,12 +1,16 @@
 """Incremental forms of the batch operators: republished files, cut episodes, notice upserts."""
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from gridcut.operators.descriptive import episodes
 from gridcut.schemas import ENTITY, OBS_KEY
-from gridcut.sources.sinks import exists, upsert_notices
+from gridcut.sources.sinks import exists, remove, upsert_notices
 
 MONTH_PARTITION = "ano_mes_chave"
 
@@ -26,61 +30,100 @@ def ingest_republished(
 ) -> StreamingQuery:
     """Merge newly published rows into a table partitioned by month; the latest `order` wins.
 
-    Only the months present in a micro-batch are read back and rewritten. The merged rows are first
-    written beside the table, because a partition cannot be overwritten while it is being read.
+    Only the months present in a micro-batch are read back and rewritten; rows without an instant
+    have a month of their own. Rows of equal `order` are told apart by the hash of their values.
     Merging a batch twice gives the same table, so a retried batch is harmless.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        months = F.date_format("din_instante", "yyyyMM")
-        fresh = batch.withColumn(MONTH_PARTITION, months)
-        touched = fresh.select(MONTH_PARTITION).distinct()
-        rows = fresh
-        if exists(spark, table):
-            rows = spark.read.parquet(table).join(F.broadcast(touched), MONTH_PARTITION, "left_semi").unionByName(
-                fresh, allowMissingColumns=True
+        rest = [c for c in batch.columns if c not in OBS_KEY]
+
+        def latest(rows: DataFrame) -> DataFrame:
+            own = [c for c in rows.columns if c not in {*OBS_KEY, MONTH_PARTITION}]
+            newest = F.max_by(F.struct(*own), F.struct(order, F.xxhash64(*rest)))
+            return rows.groupBy(*OBS_KEY, MONTH_PARTITION).agg(newest.alias("__row")).select(
+                *OBS_KEY, "__row.*", MONTH_PARTITION
             )
-        merged = rows.groupBy(*OBS_KEY, MONTH_PARTITION).agg(
-            F.max_by(
-                F.struct(*[c for c in rows.columns if c not in {*OBS_KEY, MONTH_PARTITION}]),
-                order,
-            ).alias("__row")
-        )
-        flat = merged.select(*OBS_KEY, "__row.*", MONTH_PARTITION)
-        staging = f"{table}_lote/{batch_id}"
-        flat.write.mode("overwrite").parquet(staging)
-        (
-            spark.read.parquet(staging)
-            .repartitionByRange(MONTH_PARTITION, *ENTITY)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(MONTH_PARTITION)
-            .parquet(table)
+
+        _rewrite_months(batch.withColumn(MONTH_PARTITION, _month("din_instante")), table, latest)
+
+    return _each_batch(stream, merge, checkpoint)
+
+
+def maintain_cuts(targets: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the positive half hours of each entity and day, whatever order files come in.
+
+    A row of the table is an entity's day with its sorted positive instants. A micro-batch unites
+    its rows with those of the months it touches; nothing is ever late, and a batch that comes again
+    changes nothing. `stored_episodes` reads the episodes, also those still open at the end.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        day = F.to_date("din_instante")
+        fresh = (
+            batch.where("corte_positivo and din_instante is not null")
+            .groupBy(*ENTITY, day.alias("dia"))
+            .agg(F.collect_set("din_instante").alias("instantes"))
+            .withColumn(MONTH_PARTITION, _month("dia"))
         )
 
-    return (
-        stream.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        def unite(rows: DataFrame) -> DataFrame:
+            every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("instantes"))))
+            return rows.groupBy(*ENTITY, "dia", MONTH_PARTITION).agg(every.alias("instantes"))
 
+        _rewrite_months(fresh, table, unite)
 
-def episode_stream(targets: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Cut episodes on a stream: sessions of positive half hours at most 30 minutes apart.
+    return _each_batch(targets, merge, checkpoint)
 
-    On the half-hour grid this equals the batch episodes. A repeated half hour is merged here,
-    while the batch operator expects unique keys.
+
+def stored_episodes(spark: SparkSession, table: str) -> DataFrame:
+    """Cut episodes of all half hours that `maintain_cuts` has stored: the batch operator on them."""
+    days = spark.read.parquet(table)
+    slots = days.select(*ENTITY, F.explode("instantes").alias("din_instante"))
+    return episodes(slots.withColumn("corte_positivo", F.lit(True)))
+
+
+def _month(instant: str) -> Column:
+    return F.coalesce(F.date_format(instant, "yyyyMM"), F.lit("sem_data"))
+
+
+def _rewrite_months(
+    fresh: DataFrame, table: str, combine: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Combine new rows with the stored rows of their months and overwrite those months.
+
+    The result is first written beside the table, because a partition cannot be overwritten while it
+    is being read; that copy is removed at once.
     """
-    positive = targets.where("corte_positivo").withColumn(
-        "instante", F.col("din_instante").cast("timestamp")
+    spark = fresh.sparkSession
+    staging = f"{table}_lote_{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{staging}/novas")
+    rows = spark.read.schema(fresh.schema).parquet(f"{staging}/novas")
+    if exists(spark, table):
+        touched = F.broadcast(rows.select(MONTH_PARTITION).distinct())
+        held = spark.read.parquet(table)
+        held = held.withColumn(MONTH_PARTITION, F.col(MONTH_PARTITION).cast("string"))
+        rows = held.join(touched, MONTH_PARTITION, "left_semi").unionByName(rows, allowMissingColumns=True)
+    combined = combine(rows)
+    combined.write.parquet(f"{staging}/juntas")
+    (
+        spark.read.schema(combined.schema)
+        .parquet(f"{staging}/juntas")
+        .repartitionByRange(MONTH_PARTITION, *ENTITY)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(MONTH_PARTITION)
+        .parquet(table)
     )
+    remove(spark, staging)
+
+
+def _each_batch(stream: DataFrame, work: Callable, checkpoint: str) -> StreamingQuery:
     return (
-        positive.withWatermark("instante", lateness)
-        .groupBy(*ENTITY, F.session_window("instante", "30 minutes"))
-        .agg(F.count(F.lit(1)).alias("slots"))
-        .select(*ENTITY, F.col("session_window.start").cast("timestamp_ntz").alias("inicio"), "slots")
+        stream.writeStream.foreachBatch(work)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
@@ -91,10 +134,5 @@ def upsert_stream(notices: DataFrame, archive: str, checkpoint: str) -> Streamin
         if not batch.isEmpty():
             upsert_notices(batch, archive)
 
-    return (
-        notices.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(notices, write, checkpoint)
 
