@@ -22,6 +22,8 @@ from gridcut.session import shared_dir
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 32 << 20, 3
 # Fixed values of the seekable format: skippable frame, end mark.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Up to so many pages with shared payloads (some 50 bytes each) are broadcast; beyond it joins shuffle.
+BROADCAST_SHARED = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -142,7 +144,8 @@ def write_archives(
 
     Of rows with equal payloads (of `least_revisit_bytes` or more) the one with the smallest id is
     the response; the others are revisits of it. Only digests are grouped; a hot payload is one row
-    after the map side, and pages meet their verdict by id and digest, which no payload skews.
+    after the map side. Pages whose payload is theirs alone are written where they are read; the
+    others meet their verdict by id and digest, which no payload skews.
 
     Each task writes bundles of its own under `folder` (any store that pyarrow opens, which all
     executors reach). A bundle belongs to the archive once its index rows are written; what a lost
@@ -160,24 +163,25 @@ def write_archives(
         F.sha1(body.cast("binary")).alias("digest"),
     )
     keys = rows.where(F.octet_length("payload") >= least_revisit_bytes).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    known = keys.distinct().join(first, "digest").withColumnsRenamed({"page_id": "k_page", "digest": "k_digest"})
-    met = rows.join(known, F.col("page_id").eqNullSafe(F.col("k_page")) & (F.col("digest") == F.col("k_digest")), "left")
+    first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    known = keys.distinct().join(first.drop("n"), "digest").withColumnsRenamed({"page_id": "k_page", "digest": "k_digest"})
+    known = stored(known, "shared_payloads")
+    if known.count() <= BROADCAST_SHARED:
+        known = F.broadcast(known)
+    met = F.col("page_id").eqNullSafe(F.col("k_page")) & (F.col("digest") == F.col("k_digest"))
     alike = Window.partitionBy("page_id", "digest").orderBy("url")
-    told = met.withColumn("nth", F.row_number().over(alike)).select(
-        "page_id",
-        "url",
-        "payload",
-        "nth",
-        "first_id",
-        (F.col("k_digest").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1))).alias("again"),
+    shared = rows.join(known, met).withColumn("nth", F.row_number().over(alike))
+    leads = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1)
+    alone = rows.join(known, met, "left_anti").select(
+        "page_id", "url", "payload", F.lit(1).alias("nth"), F.lit(None).cast("long").alias("first_id"), F.lit(False).alias("again")
     )
+    told = alone.unionByName(shared.select("page_id", "url", "payload", "nth", "first_id", (~leads).alias("again")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
         for batch in batches:
             index = []
-            for page, link, text, nth, first_id, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, link, text, nth, first_id, again in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):
                 payload = text.encode("utf-8", "surrogatepass")
                 digest = digest_of(payload)
                 name = _name(page, digest, nth)
