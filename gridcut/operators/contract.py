@@ -1,9 +1,11 @@
 """Forecast contract: schema, key and value rules, all counted in one aggregation."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcut.functions.scalars import all_of, any_of, is_blank, is_true, outside, plus_minutes
+from gridcut.functions.scalars import any_of, is_blank, is_true, outside
 from gridcut.schemas import (
     CAUSE_PROBABILITIES,
     FORECAST_SCHEMA,
@@ -43,61 +45,95 @@ def schema_problems(df: DataFrame) -> list[str]:
     return out
 
 
-def bad_number(c: str, lower: float | None = None, upper: float | None = None) -> Column:
-    value = F.col(c)
-    tests = [F.isnan(value), F.abs(value) == float("inf")]
-    if lower is not None:
-        tests.append(value < lower)
-    if upper is not None:
-        tests.append(value > upper)
-    return value.isNotNull() & any_of(tests)
+class Rule(NamedTuple):
+    """A rule's name, the test it applies, the columns it looks at, and what the test compares with."""
+
+    name: str
+    test: str
+    columns: tuple[str, ...]
+    limits: tuple = ()
+
+
+# --- fixed values: the rules of the contract, in checking order --------------------------------
+RULES = (
+    Rule("null_key", "missing", tuple(FORECAST_KEY)),
+    Rule("source_domain", "foreign", ("fonte",), SOURCES),
+    Rule("kind_domain", "foreign", ("tipo_saida",), OUTPUT_KINDS),
+    Rule("kind_null", "missing", ("tipo_saida",)),
+    Rule("model_blank", "blank", ("modelo_id",)),
+    Rule("horizon_range", "outside", ("horizonte",), (1, HORIZONS)),
+    Rule("tau_mismatch", "sql", (), ("tau <> t0 + make_dt_interval(0, 0, 30 * (int(horizonte) - 1))",)),
+    Rule("cutoff_null", "missing", ("corte_dados",)),
+    Rule("tau_null", "missing", ("tau",)),
+    Rule("cutoff_after_t0", "sql", (), ("corte_dados > t0",)),
+    Rule("scenario_blank", "blank", ("cenario_disponibilidade",)),
+    Rule("observation_not_released", "sql", (), ("instante_observacao + interval 30 minutes > corte_dados",)),
+    Rule("coverage_range", "outside", ("cobertura_historico",), (0.0, 1.0)),
+    Rule("generated_null", "missing", ("gerado_em",)),
+    *(Rule(f"{p}_range", "outside", (p,), (0.0, 1.0)) for p in PROBABILITIES),
+    *(Rule(f"{v}_range", "outside", (v,), (0.0, None)) for v in VOLUMES),
+    Rule("energy_mismatch", "sql", (), (f"abs(energia_esperada_mwh - volume_esperado_mwmed / 2) > {TOLERANCE}D",)),
+    Rule("energy_volume_nulls", "one_missing", ("energia_esperada_mwh", "volume_esperado_mwmed")),
+    Rule("p10_over_p90", "sql", (), ("volume_p10_mwmed > volume_p90_mwmed",)),
+    Rule("no_forecast_reason", "unexplained", ("p_corte", "motivo_sem_previsao")),
+    Rule("alert_mismatch", "sql", (), ("alerta <> (p_corte >= limiar_alerta)",)),
+    Rule("alert_null", "only_first", ("p_corte", "alerta")),
+    Rule("alert_without_forecast", "only_first", ("alerta", "p_corte")),
+    Rule("threshold_null", "only_first", ("p_corte", "limiar_alerta")),
+    Rule("cause_domain", "foreign", ("causa_prevista",), PREDICTABLE_CAUSES),
+    Rule("no_cause_reason", "unexplained", ("causa_prevista", "motivo_sem_causa")),
+    Rule("cause_shares_partial", "one_missing", CAUSE_PROBABILITIES),
+    Rule("cause_shares_sum", "sum_off", CAUSE_PROBABILITIES, (1.0,)),
+    Rule("cause_not_largest", "beaten", ("causa_prevista", *CAUSE_PROBABILITIES), PREDICTABLE_CAUSES),
+    Rule("origin_domain", "foreign", ("origem_prevista",), ORIGINS),
+)
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def _outside(c: str, low: float | None, high: float | None) -> Column:
+    """Not within the bounds; NaN and the infinities are never within, NULL always is."""
+    inside = F.abs(F.col(c)) < float("inf")
+    if low is not None:
+        inside &= F.col(c) >= low
+    if high is not None:
+        inside &= F.col(c) <= high
+    return ~inside
+
+
+def violation(rule: Rule) -> Column:
+    """The condition under which a row breaks the rule; NULL means it does not."""
+    cols = [F.col(c) for c in rule.columns]
+    match rule.test:
+        case "missing":
+            return any_of([c.isNull() for c in cols])
+        case "foreign":
+            return outside(rule.columns[0], rule.limits)
+        case "blank":
+            return is_blank(rule.columns[0])
+        case "outside":
+            return _outside(rule.columns[0], *rule.limits)
+        case "sql":
+            return F.expr(rule.limits[0])
+        case "only_first":
+            return cols[0].isNotNull() & cols[1].isNull()
+        case "unexplained":
+            return cols[0].isNull() & is_blank(rule.columns[1])
+        case "one_missing":
+            known = F.array_size(F.array_compact(F.array(*cols)))
+            return known.between(1, len(cols) - 1)
+        case "sum_off":
+            return F.abs(sum(cols[1:], cols[0]) - rule.limits[0]) > TOLERANCE
+        case "beaten":
+            shares = cols[1:]
+            own = F.get(F.array(*shares), F.array_position(F.lit(list(rule.limits)), cols[0]).cast("int") - 1)
+            full = F.array_size(F.array_compact(F.array(*shares))) == len(shares)
+            return full & (own < F.greatest(*shares) - TOLERANCE)
+    raise ValueError(rule.test)
 
 
 def value_rules() -> dict[str, Column]:
     """Violation of each rule in checking order; a NULL outcome is not a violation."""
-    c = F.col
-    rules: dict[str, Column] = {
-        "null_key": any_of([c(k).isNull() for k in FORECAST_KEY]),
-        "source_domain": outside("fonte", SOURCES),
-        "kind_domain": outside("tipo_saida", OUTPUT_KINDS),
-        "kind_null": c("tipo_saida").isNull(),
-        "model_blank": is_blank("modelo_id"),
-        "horizon_range": ~c("horizonte").between(1, HORIZONS),
-        "tau_mismatch": c("tau") != plus_minutes("t0", (c("horizonte").cast("int") - 1) * 30),
-        "cutoff_null": c("corte_dados").isNull(),
-        "tau_null": c("tau").isNull(),
-        "cutoff_after_t0": c("corte_dados") > c("t0"),
-        "scenario_blank": is_blank("cenario_disponibilidade"),
-        "observation_not_released": plus_minutes("instante_observacao", 30) > c("corte_dados"),
-        "coverage_range": bad_number("cobertura_historico", 0.0, 1.0),
-        "generated_null": c("gerado_em").isNull(),
-    }
-    rules |= {f"{p}_range": bad_number(p, 0.0, 1.0) for p in PROBABILITIES}
-    rules |= {f"{v}_range": bad_number(v, 0.0) for v in VOLUMES}
-    energy, volume = c("energia_esperada_mwh"), c("volume_esperado_mwmed")
-    p, threshold, alert = c("p_corte"), c("limiar_alerta"), c("alerta")
-    shares = [c(x) for x in CAUSE_PROBABILITIES]
-    complete = all_of([s.isNotNull() for s in shares])
-    some = any_of([s.isNotNull() for s in shares])
-    chosen = F.lit(None).cast("double")
-    for code, share in zip(PREDICTABLE_CAUSES, shares, strict=True):
-        chosen = F.when(c("causa_prevista") == code, share).otherwise(chosen)
-    return rules | {
-        "energy_mismatch": F.abs(energy - volume * 0.5) > TOLERANCE,
-        "energy_volume_nulls": energy.isNull() != volume.isNull(),
-        "p10_over_p90": c("volume_p10_mwmed") > c("volume_p90_mwmed"),
-        "no_forecast_reason": p.isNull() & is_blank("motivo_sem_previsao"),
-        "alert_mismatch": alert != (p >= threshold),
-        "alert_null": p.isNotNull() & alert.isNull(),
-        "alert_without_forecast": p.isNull() & alert.isNotNull(),
-        "threshold_null": p.isNotNull() & threshold.isNull(),
-        "cause_domain": outside("causa_prevista", PREDICTABLE_CAUSES),
-        "no_cause_reason": c("causa_prevista").isNull() & is_blank("motivo_sem_causa"),
-        "cause_shares_partial": some & ~complete,
-        "cause_shares_sum": complete & (F.abs(sum(shares[1:], shares[0]) - 1) > TOLERANCE),
-        "cause_not_largest": complete & (chosen < F.greatest(*shares) - TOLERANCE),
-        "origin_domain": outside("origem_prevista", ORIGINS),
-    }
+    return {rule.name: violation(rule) for rule in RULES}
 
 
 def contract_violations(df: DataFrame) -> DataFrame:
