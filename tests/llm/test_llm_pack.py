@@ -68,8 +68,8 @@ def test_every_id_lies_in_one_piece(spark, tokenizer, monkeypatch, cuts):
     monkeypatch.setattr("gridcut.llm.packing.BROADCAST_CUTS", cuts)
     own = texts()
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(own)], "doc_id long, text string, length int")
-    fill = check_pieces(pack(docs, word_tokenizer()).collect(), {i: encoded(tokenizer, t) for i, t in enumerate(own)})
-    assert fill > 0.97
+    got = pack(docs, word_tokenizer(), capacity=512).collect()
+    assert check_pieces(got, {i: encoded(tokenizer, t) for i, t in enumerate(own)}, 512) > 0.97
 
 
 def test_nothing_null_ids_and_repeated_rows(spark):
