@@ -6,6 +6,7 @@ last released day keeps the windows of its own last day.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -299,6 +300,19 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     return F.broadcast(days).join(at_release, "ultimo_dia")
 
 
+def emission_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`build_features` with each released day seeing only its own 92 days, as one emission does.
+
+    Target days that share a released day share a plan; the plans are united, so a batch of many
+    emissions equals the single ones also for plants and slots that fell silent long ago. Training
+    and backtests keep the shared horizon of `build_features`.
+    """
+    mapping = stored(mapping, "dias_emitidos")
+    released = [r[0] for r in mapping.select("ultimo_dia").distinct().orderBy("ultimo_dia").collect()]
+    parts = [build_features(base, mapping.where(F.col("ultimo_dia") == F.lit(d))) for d in released]
+    return reduce(DataFrame.unionByName, parts) if parts else build_features(base, mapping)
+
+
 def attach_labels(features: DataFrame, base: DataFrame) -> DataFrame:
     """Observed outcome of the target day, NULL where nothing valid was observed."""
     labels = base.select(
