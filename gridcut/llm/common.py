@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,24 @@ def word_bytes(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs that run inside, where a row holds a whole text; the session
+    has its own setting again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str | None]:
+    """The texts of a column one by one, so that a task holds one as a Python object at a time."""
+    return (x.as_py() for x in batch.column(batch.schema.names.index(column)))
+
+
 def append_columns(
     df: DataFrame,
     added: T.StructType,
@@ -81,4 +100,4 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, buc
     )
 
 
-__all__ = ["LOWER", "UPPER", "WHITE", "append_columns", "fold_of", "numbered", "stored", "word_bytes"]
+__all__ = ["LOWER", "UPPER", "WHITE", "append_columns", "arrow_rows", "fold_of", "numbered", "stored", "texts_of", "word_bytes"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcut.llm.common import append_columns, stored, word_bytes
+from gridcut.llm.common import append_columns, stored, texts_of, word_bytes
 
 #: Test items go into automata of about so many bytes of text; each is broadcast on its own.
 AUTOMATON_BYTES = 16 << 20
@@ -194,9 +194,8 @@ def _through(docs: DataFrame, added: T.StructType, shared, text: str, first: boo
     def compute(batches: Iterator[pa.RecordBatch]):
         automaton = pickle.loads(shared.value)
         for batch in batches:
-            names = batch.schema.names
             n, spans, items = [], [], []
-            for k, value in enumerate(batch.column(names.index(text)).to_pylist()):
+            for k, value in enumerate(texts_of(batch, text)):
                 words = word_bytes(value)
                 ranges, found = automaton.scan(words)
                 ids = {automaton.names[i] for i in found if automaton.names[i] is not None}
@@ -240,8 +239,7 @@ def remove_spans(matched: DataFrame, text: str = "text", min_words: int = 13, ma
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            names = batch.schema.names
-            cols = [batch.column(names.index(c)).to_pylist() for c in (text, "hit_ranges", "n_words")]
+            cols = [texts_of(batch, c) for c in (text, "hit_ranges", "n_words")]
             out = []
             for value, ranges, n in zip(*cols, strict=True):
                 hit = sum(b - a for a, b in ranges)

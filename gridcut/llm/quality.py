@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcut.llm import logistic
-from gridcut.llm.common import append_columns, stored
+from gridcut.llm.common import append_columns, stored, texts_of
 from gridcut.llm.labelled import labelled_sample
 
 #: A text is compressed in blocks of so many bytes, so that the dictionaries matter all through it.
@@ -28,12 +28,12 @@ class CompressionModel:
     bad: bytes
     weights: tuple[float, ...] | None = None
 
-    def measure(self, texts: list[str]) -> np.ndarray:
+    def measure(self, texts: Iterable[str | None], count: int) -> np.ndarray:
         """For each text: normalised size difference, its part that length backs, ratio, log length."""
         tools = [self._tool(self.good), self._tool(self.bad)]
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((count, 4))
         for row, text in zip(out, texts, strict=True):
-            data = text.encode("utf-8", "surrogatepass")
+            data = (text or "").encode("utf-8", "surrogatepass")
             sizes = [0, 0]
             for at in range(0, len(data), BLOCK):
                 block = data[at : at + BLOCK]
@@ -52,8 +52,8 @@ class CompressionModel:
             level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
         )
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return logistic.chance(self.measure(texts), np.array(self.weights))
+    def score(self, texts: Iterable[str | None], count: int) -> np.ndarray:
+        return logistic.chance(self.measure(texts, count), np.array(self.weights))
 
 
 def _dictionary(blocks: list[bytes]) -> bytes:
@@ -92,7 +92,7 @@ def fit_quality(
 def _measured(sample: DataFrame, model: CompressionModel) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            values = model.measure(batch.column(batch.schema.names.index("_text")).to_pylist())
+            values = model.measure(texts_of(batch, "_text"), batch.num_rows)
             yield batch, [pa.array(values.tolist(), pa.list_(pa.float64()))]
 
     return append_columns(sample, T.StructType([T.StructField("measures", T.ArrayType(T.DoubleType()))]), compute)
@@ -110,8 +110,8 @@ def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text",
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            yield batch, [pa.array(shared.value.score([t or "" for t in texts]), pa.float64())]
+            scores = shared.value.score(texts_of(batch, text), batch.num_rows)
+            yield batch, [pa.array(scores, pa.float64())]
 
     scored = append_columns(docs.drop("predicted"), added, compute)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcut.llm.common import append_columns, stored
+from gridcut.llm.common import append_columns, arrow_rows, stored, texts_of
 from gridcut.llm.components import Forest, components
 from gridcut.llm.runs import by_run, pairs_in_runs, run_numbers, shared_keys
 
@@ -49,8 +49,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            values = np.array([fingerprint(t) for t in texts], np.uint64)
+            values = np.fromiter(map(fingerprint, texts_of(batch, text)), np.uint64, batch.num_rows)
             yield batch, [pa.array(values.view(np.int64))]
 
     return append_columns(docs, added, compute)
@@ -127,7 +126,8 @@ def near_duplicates(
     linking but are never the smallest; a component of null ids alone has a null id. Repeated rows
     are in one component. No rows give no rows. Columns with an added name are replaced.
     """
-    marked = stored(with_fingerprints(docs.drop("component_id"), text), "fingerprints")
+    with arrow_rows(docs.sparkSession, 500):
+        marked = stored(with_fingerprints(docs.drop("component_id"), text), "fingerprints")
     distinct = stored(marked.groupBy("fingerprint").agg(F.min(f"`{id_col}`").alias("_least")), "distinct_fingerprints")
     roots = components(linking_pairs(distinct, bits, blocks)).withColumnRenamed("node", "fingerprint")
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcut.llm import logistic
-from gridcut.llm.common import append_columns, stored, word_bytes
+from gridcut.llm.common import append_columns, stored, texts_of, word_bytes
 from gridcut.llm.labelled import labelled_sample
 
 #: Weight of the Dirichlet prior (in documents), its least part for a word, z-score from which a word
@@ -52,23 +52,26 @@ class ToxicModel:
             stack.append((start, stop, low, high))
         return [(a, b, float(high - low)) for a, b, low, high in stack]
 
-    def measure(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    def measure(
+        self, texts: Iterable[str | None], count: int
+    ) -> tuple[np.ndarray, list[list[tuple[int, int, float]]], list[int]]:
         """For each text: -log of the chance of its best segment and of all of them in clean text of
-        that length, share of words in segments; and the segments."""
-        out, passages = np.zeros((len(texts), 3)), []
+        that length, share of words in segments; the segments; and the number of words."""
+        out, passages, lengths = np.zeros((count, 3)), [], []
         for row, text in zip(out, texts, strict=True):
             words = word_bytes(text)
             found = self.segments(words)
             passages.append(found)
+            lengths.append(len(words))
             if found:
                 surplus = self.decay * np.array([s for _, _, s in found]) - np.log(self.scale * len(words))
                 rare = np.where(surplus > 0, surplus, 0.0)
                 held = sum(b - a for a, b, _ in found) / len(words)
                 row[:] = np.log1p(max(surplus.max(), 0.0)), np.log1p(rare.sum()), held
-        return out, passages
+        return out, passages, lengths
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list]:
-        measures, passages = self.measure(texts)
+    def score(self, texts: Iterable[str | None], count: int) -> tuple[np.ndarray, list]:
+        measures, passages, _ = self.measure(texts, count)
         return logistic.chance(measures, np.array(self.weights)), passages
 
 
@@ -79,7 +82,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             counts: dict[bytes, list[int]] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(texts_of(batch, "_text"), texts_of(batch, "label"), strict=True):
                 for w in set(word_bytes(text)):
                     counts.setdefault(w, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays(
@@ -157,12 +160,11 @@ def _measured(sample: DataFrame, model: ToxicModel) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("_text")).to_pylist()
-            values, passages = model.measure(texts)
+            values, passages, lengths = model.measure(texts_of(batch, "_text"), batch.num_rows)
             yield batch, [
                 pa.array(values.tolist(), pa.list_(pa.float64())),
                 _arrow(passages),
-                pa.array([len(word_bytes(t)) for t in texts], pa.int64()),
+                pa.array(lengths, pa.int64()),
             ]
 
     return append_columns(sample, added, compute)
@@ -187,8 +189,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            values, passages = shared.value.score(texts)
+            values, passages = shared.value.score(texts_of(batch, text), batch.num_rows)
             yield batch, [_arrow(passages), pa.array(values, pa.float64())]
 
     scored = append_columns(docs.drop("predicted"), added, compute)
