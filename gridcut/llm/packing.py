@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcut.llm.common import numbered, stored
+from gridcut.llm.common import arrow_rows, numbered, stored
 
 #: Tokens of a length class; a pattern is a choice of classes whose sizes fill a sequence.
 CLASS = 8
 #: A pattern must fill so much of its sequence; pieces of the others are laid end to end and cut.
 LEAST_FILL = 0.99
+#: A plan is good enough if it needs no more than this part above the sequences that the pieces fill.
+ENOUGH = 0.0005
 #: Pre-tokens whose ids a task keeps, before it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 
 class Encoder:
@@ -107,7 +109,10 @@ def plan_patterns(demand: np.ndarray, rounds: int = 4000) -> Plan:
     np.fill_diagonal(basis, n // (sizes + 1))
     inverse = np.diag(1.0 / np.diag(basis))
     count = inverse @ demand[sizes]
+    filled = demand[sizes] @ (sizes + 1) / n
     for turn in range(rounds):
+        if count.sum() <= (1 + ENOUGH) * filled:
+            break
         if turn % 200 == 199:
             inverse = np.linalg.inv(basis)
             count = np.maximum(inverse @ demand[sizes], 0)
@@ -214,7 +219,8 @@ def pack(
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id()).withColumn(
         "size", F.when(whole, 0).otherwise(F.ceil(F.col("length") / CLASS)).cast("int")
     )
-    pieces = stored(pieces, "pieces")
+    with arrow_rows(docs.sparkSession, 500):
+        pieces = stored(pieces, "pieces")
     counts = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
     n_full = counts.get(0, 0)
     plan = plan_patterns(np.array([counts.get(k + 1, 0) for k in range(units)], np.int64))
