@@ -21,7 +21,7 @@ CLASS = 8
 LEAST_FILL = 0.99
 #: A plan is good enough if it needs no more than this part above the sequences that the pieces fill.
 ENOUGH = 0.0005
-#: Pre-tokens whose ids a task keeps, before it starts anew.
+#: Pre-tokens whose ids a worker keeps, and as many that it met before those and may forget.
 CACHE = 150_000
 
 
@@ -41,13 +41,16 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
 
     def _one(self, piece: str) -> bytes:
-        marks = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        made = np.array([t.id for t in self.whole.model.tokenize(marks)], "<u4").tobytes()
+        made = self.older.pop(piece, None)
+        if made is None:
+            marks = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            made = np.array([t.id for t in self.whole.model.tokenize(marks)], "<u4").tobytes()
         if len(self.known) >= CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known[piece] = made
         return made
 
