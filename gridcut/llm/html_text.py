@@ -29,6 +29,21 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
+#: A closed element of these does not reach beyond the second set; sections close whatever is open in them.
+SPECIAL = (BLOCKS - {"option"}) | frozenset("body button iframe object select".split())
+SCOPE = frozenset("applet button caption marquee object table td template th".split())
+SECTIONS = frozenset("article aside footer form header main nav section".split())
+TABLE_PARTS = frozenset("caption table tbody td tfoot th thead tr".split())
+#: Which open elements a start tag ends, as HTML lets their end tags be left out.
+ENDS_P = BLOCKS - frozenset("body caption head html legend optgroup option tbody td tfoot th thead title tr".split())
+ENDS_ROWS = {
+    **dict.fromkeys(("td", "th"), ("td", "th")),
+    "tr": ("td", "th", "tr"),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")),
+}
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split())
+#: Dropped by their tag also when an article stands in them, if their own end tag closes them.
+TANGENT = DROPPED - frozenset("form fieldset dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TELLING = frozenset(
@@ -56,25 +71,153 @@ class Block:
     dropped: bool
 
 
+class _Open:
+    """An open element; `drops` is settled when it ends, `outer` is the dropped element around it."""
+
+    __slots__ = ("name", "drops", "outer", "holds", "lifted")
+
+    def __init__(self, name: str) -> None:
+        self.name, self.drops, self.outer, self.holds, self.lifted = name, False, None, False, True
+
+
 @dataclass
 class _Reader:
-    """Reads tags in order; keeps how deep it is in the article and in what is dropped."""
+    """Reads tags in order and keeps the open elements, with the end tags that HTML lets be left out.
+
+    An element that is dropped ends at its end tag or with an element around it. If an article (or
+    main) stands in it, it is not dropped after all; of TANGENT only if its own end tag is missing.
+    """
 
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
+    stack: list[_Open] = field(default_factory=list)
+    # Places in the stack, by name and for kinds of elements, so that no tag walks the stack.
+    at: dict[str, list[int]] = field(default_factory=dict)
+    scopes: list[int] = field(default_factory=list)
+    special: list[int] = field(default_factory=list)
+    items: list[int] = field(default_factory=list)
+    tables: list[int] = field(default_factory=list)
+    dropping: list[_Open] = field(default_factory=list)
+    holding: int = 0
+    dropped: list[_Open] = field(default_factory=list)
+    found: list[tuple[Block, _Open]] = field(default_factory=list)
     article: int = 0
-    skip_tag: str = ""
-    skip_depth: int = 0
     heading: int = 0
-    header: int = 0
 
     def end_block(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                dropped = bool(self.skip_tag) or (self.header > 0 and not (self.article and self.heading))
-                self.blocks.append(Block(text, self.article > 0, dropped))
+                block = Block(text, self.article > 0, False)
+                self.blocks.append(block)
+                by = self.dropping[-1] if self.dropping else None
+                while by is not None and by.name == "header" and self.article and self.heading:
+                    by = by.outer
+                if by is not None:
+                    self.found.append((block, by))
+
+    def finish(self) -> list[Block]:
+        self.end_block()
+        self.pop_to(0, "")
+        for e in self.dropped:  # an outer element stands before those in it
+            e.drops = e.drops or (e.outer is not None and e.outer.drops)
+        for block, by in self.found:
+            block.dropped = by.drops
+        return self.blocks
+
+    def last(self, *names: str) -> int:
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=-1)
+
+    def pop_to(self, place: int, closing: str) -> None:
+        """Ends the elements from a place of the stack on; `closing` has an end tag of its own."""
+        while len(self.stack) > place:
+            e = self.stack[-1]
+            if self.dropping and self.dropping[-1] is e:
+                self.end_block()
+                self.dropping.pop()
+                own = len(self.stack) == place + 1 and closing == e.name
+                e.drops = not (e.holds and (e.lifted or not own))
+                self.holding = min(self.holding, len(self.dropping))
+            self.stack.pop()
+            self.at[e.name].pop()
+            if e.name in SPECIAL or e.name in SCOPE:
+                for places in (self.scopes, self.special, self.items, self.tables):
+                    if places and places[-1] == len(self.stack):
+                        places.pop()
+            if e.name in ("article", "main"):
+                self.article -= 1
+            elif e.name in HEADINGS:
+                self.heading -= 1
+
+    def push(self, name: str, drops: bool) -> None:
+        e, place = _Open(name), len(self.stack)
+        if drops:
+            self.end_block()
+            e.outer = self.dropping[-1] if self.dropping else None
+            e.lifted = name not in TANGENT
+            self.dropping.append(e)
+            self.dropped.append(e)
+        self.stack.append(e)
+        self.at.setdefault(name, []).append(place)
+        if name in SCOPE:
+            self.scopes.append(place)
+        if name in SPECIAL:
+            self.special.append(place)
+            if name not in ("address", "div", "p"):
+                self.items.append(place)
+        if name == "table":
+            self.tables.append(place)
+        if name in ("article", "main"):
+            self.article += 1
+            for held in self.dropping[self.holding :]:
+                held.holds = True
+            self.holding = len(self.dropping)
+        elif name in HEADINGS:
+            self.heading += 1
+
+    def imply(self, name: str) -> None:
+        """Ends the elements that the start of another one ends."""
+        if self.at.get("head") and name not in IN_HEAD:
+            self.pop_to(self.last("head"), "")
+        if name in ENDS_P and (p := self.last("p")) >= 0 and p > (self.scopes[-1] if self.scopes else -1):
+            self.pop_to(p, "")
+        over = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(name)
+        if over and self.items and self.stack[self.items[-1]].name in over:
+            self.pop_to(self.items[-1], "")
+        elif name in ENDS_ROWS:
+            table = self.tables[-1] if self.tables else -1
+            open_ = [k for n in ENDS_ROWS[name] if (k := self.last(n)) > table]
+            if open_:
+                self.pop_to(min(open_), "")
+        elif name in ("option", "optgroup"):
+            if (k := self.last("option")) > (self.special[-1] if self.special else -1):
+                self.pop_to(k, "")
+        elif name in HEADINGS and self.stack and self.stack[-1].name in HEADINGS:
+            self.pop_to(len(self.stack) - 1, "")
+        elif name in ("button", "select") and self.at.get(name):
+            self.pop_to(self.last(name), "")
+
+    def close(self, name: str) -> None:
+        place = self.last(*HEADINGS) if name in HEADINGS else self.last(name)
+        if name in SECTIONS:
+            least = 0
+        elif name in TABLE_PARTS:
+            least = self.tables[-1] if self.tables else 0
+        elif name in SPECIAL:
+            least = self.scopes[-1] if self.scopes else 0
+            if name == "li":
+                least = max(least, self.last("ol", "ul"))
+        else:
+            least = self.special[-1] if self.special else 0
+        if place >= least and place >= 0:
+            self.pop_to(place, name)
+
+    def text(self, part: str) -> None:
+        if self.at.get("head") and not part.isspace():
+            self.end_block()
+            self.pop_to(self.last("head"), "")
+        self.parts.append(part)
 
     def tag(self, closing: bool, name: str, rest: str) -> None:
         if name == "br":
@@ -82,25 +225,18 @@ class _Reader:
             return
         if name in BLOCKS:
             self.end_block()
-        if name in VOID or (rest.endswith("/") and not closing and name not in BLOCKS):
+        if name in VOID:
+            self.imply(name)
             return
-        if self.skip_tag:
-            if name == self.skip_tag:
-                self.skip_depth += -1 if closing else 1
-                if not self.skip_depth:
-                    self.end_block()
-                    self.skip_tag = ""
-            return
-        step = -1 if closing else 1
-        if not closing and (name in DROPPED or (rest and name not in ("html", "body") and _telling(rest))):
-            self.end_block()
-            self.skip_tag, self.skip_depth = name, 1
-        elif name in ("article", "main"):
-            self.article = max(0, self.article + step)
-        elif name == "header":
-            self.header = max(0, self.header + step)
-        elif name in HEADINGS:
-            self.heading = max(0, self.heading + step)
+        if name in ("html", "body"):
+            if not closing and not self.at.get(name):
+                self.imply(name)
+                self.push(name, False)
+        elif closing:
+            self.close(name)
+        elif not (rest.endswith("/") and name not in BLOCKS):
+            self.imply(name)
+            self.push(name, name == "header" or name in DROPPED or bool(rest and _telling(rest)))
 
 
 def _telling(rest: str) -> bool:
@@ -116,14 +252,13 @@ def blocks_of(page: str | None) -> list[Block]:
     page, reader, at = page or "", _Reader(), 0
     for m in _TAG.finditer(page):
         if m.start() > at:
-            reader.parts.append(page[at : m.start()])
+            reader.text(page[at : m.start()])
         at = m.end()
         if m[3]:
             reader.tag(m[2] == "/", m[3].lower(), m[4])
     if at < len(page):
-        reader.parts.append(page[at:])
-    reader.end_block()
-    return reader.blocks
+        reader.text(page[at:])
+    return reader.finish()
 
 
 def repeated(streams: list[list[int]], pages: list[int], tokens: int, least_pages: int) -> list[np.ndarray]:

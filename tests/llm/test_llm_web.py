@@ -134,3 +134,33 @@ def test_repeated_runs_equal_brute_force():
 def test_tags_cut_off_anywhere():
     for k in range(len(PAGE)):
         blocks_of(PAGE[:k])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>{0}<p class='ad'>Buy<p>{1}</article>{2}",
+        "<article>{0}<ul><li class='menu'>Buy<li>{1}</ul></article>{2}",
+        "<article>{0}<table><tr><td class='sidebar'>Buy<td>{1}<tr><td>{3}</table></article>{2}",
+        "<article>{0}<dl><dt class='ad'>Buy<dd>{1}</dl></article>{2}",
+        "<article>{0}<section><div class='ad'>Buy<p>Now</section><p>{1}</article>{2}",
+        "<div class='ad'>Buy<article>{0}<p>{1}</article>{2}",
+        "<html><head><meta charset=utf-8><title>T</title><body><article>{0}<p>{1}</article>{2}",
+        "<nav><ul><li>Menu<li>More<article>{0}<p>{1}</article>{2}",
+        "<article>{0}<datalist><option class='ad'>Buy<option>{1}</datalist></article>{2}",
+    ],
+)
+def test_dropped_elements_end_without_an_end_tag(page):
+    found = blocks_of(page.format("First words", "second words", "<p>after it</p>", "third words"))
+    kept = [b.text for b in found if b.article and not b.dropped]
+    assert kept[:2] == ["First words", "second words"] and "Buy" not in kept
+    assert [b.text for b in found if not b.article][-1] == "after it"
+
+
+def test_tags_are_read_in_linear_time():
+    import time
+
+    for page in ("<div class=ad><p>" * 30_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<aside><article>" * 30_000):
+        start = time.monotonic()
+        blocks_of(page)
+        assert time.monotonic() - start < 5
