@@ -52,6 +52,13 @@ TELLING = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar pagination pager share sharing "
     "social related recommended recommendations comment comments disqus respond replies complementary contentinfo search".split()
 )
+# Words that say of another word that a page or element has it, and words for what merely holds something.
+STATES = frozenset("has have no not with without is show hide hidden enable enabled disable disabled for before after".split())
+HOLDERS = frozenset(
+    "area bar block bottom box button buttons card cards column container content contents footer form group header holder "
+    "icon icons inner inside item items left link links list main outer panel primary right row secondary section slot "
+    "small large space strip text title top unit wrap wrapper zone articles posts stories".split()
+)
 # End of the fixed values.
 
 _TAG = re.compile(
@@ -61,7 +68,7 @@ _TAG = re.compile(
     r"|<[!?/][^>]*+>?",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 @dataclass
@@ -236,14 +243,22 @@ class _Reader:
             self.close(name)
         elif not (rest.endswith("/") and name not in BLOCKS):
             self.imply(name)
-            self.push(name, name == "header" or name in DROPPED or bool(rest and _telling(rest)))
+            told = rest and name not in ("article", "main") and _telling(rest)
+            self.push(name, name == "header" or name in DROPPED or bool(told))
 
 
 def _telling(rest: str) -> bool:
+    """Whether a class name, id or role is a telling word or a compound whose head is one: its last word
+    (site-header), or the first if only holders and numbers follow (ad-slot-2); not has-sidebar, comments-open."""
     for m in _NAMED.finditer(rest):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if not TELLING.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = [w for w in re.split(r"[_-]+", name) if w]
+            while len(words) > 1 and words[-1].isdigit():
+                words.pop()
+            if not words or words[0] in STATES and len(words) > 1:
+                continue
+            if words[-1] in TELLING or words[0] in TELLING and HOLDERS.issuperset(words[1:]):
+                return True
     return False
 
 

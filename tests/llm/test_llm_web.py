@@ -164,3 +164,27 @@ def test_tags_are_read_in_linear_time():
         start = time.monotonic()
         blocks_of(page)
         assert time.monotonic() - start < 5
+
+
+@pytest.mark.parametrize(
+    ("open_", "close"),
+    [
+        ("<article class='post has-sidebar'>", "</article>"),
+        ("<main class='with-sidebar'>", "</main>"),
+        ("<article class='comment'>", "</article>"),
+        ("<div class='site-content comments-open'><article>", "</article></div>"),
+        ("<div class='page no-header'><article>", "</article></div>"),
+        ("<div id='sidebar'><main>", "</main></div>"),
+        ("<article><section class='related-work'>", "</section></article>"),
+        ("<article><div data-role='banner'>", "</div></article>"),
+        ("<form class='search'><article>", "</article></form>"),
+    ],
+)
+def test_names_do_not_drop_an_article(open_, close):
+    found = blocks_of(f"<body>{open_}<h1>Head</h1><p>Words</p>{close}</body>")
+    assert [(b.text, b.article, b.dropped) for b in found] == [("Head", True, False), ("Words", True, False)]
+
+
+def test_names_that_drop():
+    for name in "ad ad-slot ad-slot-2 site-header main_nav sidebar-left cookie-notice comments-area related-posts widget".split():
+        assert [b.dropped for b in blocks_of(f"<article><div class='x {name}'>Buy</div></article>")] == [True]
