@@ -1,4 +1,4 @@
-"""Main text of web pages: tags tell the article, a host's suffix array the boilerplate elsewhere."""
+"""Main text of web pages: a host's suffix array judges the pages, with tags as evidence."""
 
 from __future__ import annotations
 
@@ -276,14 +276,13 @@ def blocks_of(page: str | None) -> list[Block]:
     return reader.finish()
 
 
-def repeated(streams: list[list[int]], pages: list[int], tokens: int, least_pages: int) -> list[np.ndarray]:
-    """For each stream of token numbers, which tokens lie in a run of `tokens` or more that occurs in
-    `least_pages` or more distinct pages.
+def windows(streams: list[list[int]], pages: list[int], tokens: int) -> tuple[np.ndarray, ...]:
+    """Streams of token numbers laid end to end: where each begins, the tokens, and of the window of
+    `tokens` tokens at each place its rank and the number of distinct pages that have it.
 
-    Streams are laid end to end with separators of their own, and suffixes are ranked by prefix
-    doubling until ranks tell their first `tokens` tokens: the order of ranks is the suffix array, and
-    suffixes of equal rank are its intervals with that common prefix. A longer repeated run is made
-    up of such intervals, one at each of its tokens.
+    Separators of their own end the streams, and suffixes are ranked by prefix doubling until ranks
+    tell their first `tokens` tokens: the order of ranks is the suffix array, and suffixes of equal
+    rank are its intervals with that common prefix.
     """
     lengths = np.array([len(s) for s in streams], np.int64)
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -294,108 +293,138 @@ def repeated(streams: list[list[int]], pages: list[int], tokens: int, least_page
         text[begin[k] : begin[k + 1] - 1] = s
         text[begin[k + 1] - 1] = top + k
         page[begin[k] : begin[k + 1]] = pages[k]
-    covered = np.zeros(len(text) + tokens + 1, np.int64)
-    if len(text):
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        depth = 1
-        while depth < tokens:
-            step = min(depth, tokens - depth)
-            after = np.full(len(rank), -1, np.int64)
-            after[: len(rank) - step] = rank[step:]
-            rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-            depth += step
-        seen = np.unique(rank * (max(pages) + 1) + page)
-        distinct = np.bincount(seen // (max(pages) + 1), minlength=len(rank))
-        hit = np.flatnonzero(distinct[rank] >= least_pages)
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + tokens, -1)
-    inside = np.cumsum(covered)[: len(text)] > 0
-    return [inside[begin[k] : begin[k + 1] - 1] for k in range(len(streams))]
-
-
-_OUTSIDE = ["page_id", "url", "whole", "texts", "dropped"]
-
-
-def _parsed(pages: DataFrame, article: bool) -> DataFrame:
-    """Pages with an article: their text. Or all pages: their blocks outside of any."""
-    schema = "page_id long, url string, text string" if article else (
-        "page_id long, url string, whole boolean, texts array<string>, dropped array<boolean>"
-    )
+    if not len(text):
+        return begin, text, text, text
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    depth = 1
+    while depth < tokens:
+        step = min(depth, tokens - depth)
+        after = np.full(len(rank), -1, np.int64)
+        after[: len(rank) - step] = rank[step:]
+        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+        depth += step
+    seen = np.unique(rank * (max(pages) + 1) + page)
+    distinct = np.bincount(seen // (max(pages) + 1), minlength=len(rank))
+    return begin, text, rank, distinct[rank]
+
+
+def covered(begin: np.ndarray, hit: np.ndarray, tokens: int) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a window that was hit."""
+    steps = np.zeros(begin[-1] + tokens + 1, np.int64)
+    np.add.at(steps, hit, 1)
+    np.add.at(steps, hit + tokens, -1)
+    inside = np.cumsum(steps)[: begin[-1]] > 0
+    return [inside[begin[k] : begin[k + 1] - 1] for k in range(len(begin) - 1)]
+
+
+def repeated(streams: list[list[int]], pages: list[int], tokens: int, least_pages: int) -> list[np.ndarray]:
+    """For each stream of token numbers, which tokens lie in a run of `tokens` or more that occurs in
+    `least_pages` or more distinct pages. A longer repeated run is made up of windows, one at each of
+    its tokens."""
+    begin, _, _, distinct = windows(streams, pages, tokens)
+    return covered(begin, np.flatnonzero(distinct >= least_pages), tokens)
+
+
+#: What tags say of a block: the host decides, it is dropped, or it stays.
+OPEN, GONE, STAYS = 0, 1, 2
+_BLOCKS = "row long, page_id long, url string, texts array<string>, kinds array<byte>, judged boolean"
+_TEXT = "page_id long, url string, text string"
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Every page's blocks with what tags say of them; `judged` if the host decides on any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, urls, bodies = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                found = [blocks_of(x) for x in bodies]
-                whole = [not any(b.article for b in f) for f in found]
-                if article:
-                    own = [k for k, w in enumerate(whole) if not w]
-                    texts = ["\n".join(b.text for b in found[k] if b.article and not b.dropped) for k in own]
-                    cols = [[ids[k] for k in own], [urls[k] for k in own], texts]
-                    kinds = [pa.int64(), pa.string(), pa.string()]
-                else:
-                    out = [[b for b in f if not b.article] for f in found]
-                    cols = [ids, urls, whole, [[b.text for b in f] for f in out], [[b.dropped for b in f] for f in out]]
-                    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_())]
-                names = ["page_id", "url", "text"] if article else _OUTSIDE
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return pages.mapInArrow(run, schema)
+                row, ids, urls, bodies = batch.slice(at, 500).columns
+                found = [blocks_of(x.as_py()) for x in bodies]
+                kinds = [[GONE if b.dropped else STAYS if b.article else OPEN for b in f] for f in found]
+                cols = [
+                    row,
+                    ids,
+                    urls,
+                    pa.array([[b.text for b in f] for f in found], pa.list_(pa.string())),
+                    pa.array(kinds, pa.list_(pa.int8())),
+                    pa.array([OPEN in k for k in kinds], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "page_id", "url", "texts", "kinds", "judged"])
+
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def unique_runs(group: pa.Table) -> pa.Table:
-    """Texts of a group's pages without an article: blocks that tags do not drop, without those that
-    runs repeated on other pages of the group cover."""
+def _streams(group: pa.Table) -> tuple[list[list[int]], list[str]]:
+    """The token stream of each page across its blocks, and the words by number."""
     vocab: dict[str, int] = {}
-    streams, pages, places = [], [], []
-    ids, urls, whole, texts, dropped = (group.column(c).to_pylist() for c in _OUTSIDE)
-    for k, blocks in enumerate(texts):
-        for n, t in enumerate(blocks):
-            streams.append([vocab.setdefault(w, len(vocab)) for w in t.split(" ")])
-            pages.append(k)
-            places.append((k, n))
+    streams = [
+        [vocab.setdefault(w, len(vocab)) for t in texts.as_py() for w in t.split(" ")] for texts in group.column("texts")
+    ]
+    return streams, list(vocab)
+
+
+def unique_runs(group: pa.Table) -> pa.Table:
+    """Texts of a group's judged pages: blocks that stay, and open ones without what runs repeated on
+    other pages of the group cover."""
+    streams, _ = _streams(group)
     least = max(RUN_PAGES, int(np.ceil(RUN_SHARE * group.num_rows)))
-    marks = repeated(streams, pages, RUN_TOKENS, least) if streams else []
-    kept: list[list[str]] = [[] for _ in ids]
-    for (k, n), mark in zip(places, marks, strict=True):
-        if whole[k] and not dropped[k][n]:
-            words = texts[k][n].split(" ")
-            left = [w for w, gone in zip(words, mark.tolist(), strict=True) if not gone]
-            if left:
-                kept[k].append(" ".join(left))
-    own = [k for k, w in enumerate(whole) if w]
-    cols = [[ids[k] for k in own], [urls[k] for k in own], ["\n".join(kept[k]) for k in own]]
-    kinds = [pa.int64(), pa.string(), pa.string()]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "text"])
+    marks = repeated(streams, list(range(len(streams))), RUN_TOKENS, least)
+    return _kept(group, marks)
+
+
+def _kept(group: pa.Table, marks: list[np.ndarray]) -> pa.Table:
+    own = [k for k, judged in enumerate(group.column("judged").to_pylist()) if judged]
+    out = []
+    for k in own:
+        kept, at = [], 0
+        for text, kind in zip(group.column("texts")[k].as_py(), group.column("kinds")[k].as_py(), strict=True):
+            words = text.split(" ")
+            if kind == STAYS:
+                kept.append(text)
+            elif kind == OPEN:
+                left = [w for w, gone in zip(words, marks[k][at : at + len(words)].tolist(), strict=True) if not gone]
+                if left:
+                    kept.append(" ".join(left))
+            at += len(words)
+        out.append("\n".join(kept))
+    cols = [group.column("page_id").take(own), group.column("url").take(own), pa.array(out, pa.string())]
+    return pa.table(cols, names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A page with an article (or main) element has the text of its blocks there, without what tags or
-    class names mark as menu, header, footer, sidebar, notice, advert, form or comment. Its text is
-    kept even if other pages have it too. Elsewhere the host decides: the token streams of all blocks
-    outside articles are laid into suffix arrays, a host's pages dealt into groups of about
-    GROUP_BYTES, and of pages without an article the runs stay that fewer than RUN_PAGES pages (and
-    RUN_SHARE of the group) have.
+    Tags are evidence: blocks in an article (or main) element stay even if other pages have them too,
+    and what tags or class names mark as menu, header, footer, sidebar, notice, advert, form or comment
+    goes. On all other blocks the host decides, on pages with an article as well: the token streams of
+    all its pages, whole, are laid into suffix arrays, dealt into groups of about GROUP_BYTES, and the
+    runs stay that fewer than RUN_PAGES pages (and RUN_SHARE of the group) have. Hosts whose tags leave
+    nothing open need no suffix array.
 
     Null or empty html gives empty text; null ids and urls stay null (no host is a host). Repeated
     rows are pages of their own. Broken markup ends at the end of the page. No rows give no rows.
     Columns other than the three are not carried.
     """
     rows = pages.select(
-        F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("page_id"),
+        F.col(f"`{url}`").alias("url"),
+        F.col(f"`{html}`").alias("html"),
     )
-    told = _parsed(rows, article=True)
-    outside = stored(_parsed(rows, article=False).withColumn("host", host_of(F.col("url"))), "page_blocks")
     size = F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t))
-    groups = outside.groupBy("host").agg(F.ceil((F.sum(size) + 1) / GROUP_BYTES).cast("int").alias("groups"))
-    dealt = outside.join(groups, "host").withColumn(
-        "group", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("groups"))
+    blocks = stored(_parsed(rows).withColumns({"host": host_of(F.col("url")), "bytes": size}), "page_blocks")
+    stays = F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] == STAYS), lambda x: x["texts"])
+    told = blocks.where("not judged").select("page_id", "url", F.array_join(stays, "\n").alias("text"))
+    hosts = stored(
+        blocks.groupBy("host")
+        .agg(F.ceil((F.sum("bytes") + 1) / GROUP_BYTES).cast("int").alias("groups"), F.bool_or("judged").alias("open"))
+        .where("open")
+        .select("host", "groups"),
+        "page_hosts",
     )
-    runs = dealt.groupBy("host", "group").applyInArrow(unique_runs, "page_id long, url string, text string")
+    dealt = blocks.join(hosts, "host").withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")))
+    runs = dealt.groupBy("host", "group").applyInArrow(unique_runs, _TEXT)
     return told.unionByName(runs).withColumn("n_chars", F.length("text").cast("long"))

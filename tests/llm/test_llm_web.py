@@ -188,3 +188,14 @@ def test_names_do_not_drop_an_article(open_, close):
 def test_names_that_drop():
     for name in "ad ad-slot ad-slot-2 site-header main_nav sidebar-left cookie-notice comments-area related-posts widget".split():
         assert [b.dropped for b in blocks_of(f"<article><div class='x {name}'>Buy</div></article>")] == [True]
+
+
+def test_host_judges_what_stands_outside_of_articles(spark):
+    rnd = random.Random(5)
+    own = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(30)) for _ in range(8)]
+    teaser = "the same teaser card with more than eight words in it on every page"
+    menu = "".join(f"<div>{w}</div>" for w in "Home Products About News Contact Imprint Terms Privacy Jobs Press".split())
+    page = "<body>{0}<article class='card'><p>{1}</p></article><div class='text'><p>{2}</p></div></body>"
+    rows = [(k, f"http://h/{k}", page.format(menu, teaser, t), "x") for k, t in enumerate(own)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: f"{teaser}\n{t}" for k, t in enumerate(own)}
