@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from gridcut.llm.common import stored
 
-#: Tokens of the shortest repeated run that counts, and the pages of a group that must share it.
-RUN_TOKENS, RUN_PAGES, RUN_SHARE = 8, 3, 0.005
+#: Tokens of the shortest repeated run that counts, and the pages of a host that must share it.
+RUN_TOKENS, RUN_PAGES = 8, 3
 #: A host's pages are dealt into groups of about so many bytes of text; each has a suffix array.
 GROUP_BYTES = 8 << 20
 
@@ -366,13 +367,64 @@ def _streams(group: pa.Table) -> tuple[list[list[int]], list[str]]:
     return streams, list(vocab)
 
 
-def unique_runs(group: pa.Table) -> pa.Table:
+def _names(text: np.ndarray, at: np.ndarray, words: list[str]) -> np.ndarray:
+    """128-bit names of the windows at some places, the same in every group: rows of two numbers."""
+    digests = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words)
+    codes = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    out = np.zeros((len(at), 2), np.uint64)
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+    for k in range(RUN_TOKENS):
+        out = out * odd + codes[text[at + k]]
+    return out.view(np.int64)
+
+
+def _places(begin: np.ndarray) -> np.ndarray:
+    """Places whose window lies within one stream."""
+    ends = [np.arange(b, e - RUN_TOKENS) for b, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    return np.concatenate([*ends, np.empty(0, np.int64)]).astype(np.int64)
+
+
+_COUNTED = "host_no long, group long, a long, b long, pages long, open boolean"
+
+
+def group_runs(group: pa.Table) -> pa.Table:
+    """The distinct windows of a group: their names, pages, and whether they touch a block that is open."""
+    streams, words = _streams(group)
+    begin, text, rank, distinct = windows(streams, list(range(len(streams))), RUN_TOKENS)
+    touch = np.zeros(len(text) + 1, np.int64)
+    at = 0
+    for texts, kinds in zip(group.column("texts"), group.column("kinds"), strict=True):
+        for t, kind in zip(texts.as_py(), kinds.as_py(), strict=True):
+            n = t.count(" ") + 1
+            touch[at + 1 : at + n + 1] = kind == OPEN
+            at += n
+        at += 1  # the separator
+    touch = np.cumsum(touch)
+    places = _places(begin)
+    ranks, first, which = np.unique(rank[places], return_index=True, return_inverse=True)
+    is_open = np.bincount(which, touch[places + RUN_TOKENS] - touch[places], minlength=len(ranks)) > 0
+    names = _names(text, places[first], words) if len(places) else np.empty((0, 2), np.int64)
+    same = [pa.array(np.full(len(ranks), group.column(c)[0].as_py(), np.int64)) for c in ("host_no", "group")]
+    cols = [*same, pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(distinct[places[first]]), pa.array(is_open)]
+    return pa.table(cols, names=["host_no", "group", "a", "b", "pages", "open"])
+
+
+def unique_runs(group: pa.Table, shared: pa.Table) -> pa.Table:
     """Texts of a group's judged pages: blocks that stay, and open ones without what runs repeated on
-    other pages of the group cover."""
-    streams, _ = _streams(group)
-    least = max(RUN_PAGES, int(np.ceil(RUN_SHARE * group.num_rows)))
-    marks = repeated(streams, list(range(len(streams))), RUN_TOKENS, least)
-    return _kept(group, marks)
+    other pages cover, of the group or, by the names in `shared`, of the whole host."""
+    if not group.num_rows:
+        return pa.table([[], [], []], schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
+    streams, words = _streams(group)
+    begin, text, _, distinct = windows(streams, list(range(len(streams))), RUN_TOKENS)
+    hit = distinct >= RUN_PAGES
+    if shared.num_rows:
+        places = _places(begin)
+        places = places[~hit[places]]
+        pair = np.dtype([("a", np.int64), ("b", np.int64)])
+        known = np.rec.fromarrays([shared.column(c).to_numpy() for c in ("a", "b")], dtype=pair)
+        names = np.ascontiguousarray(_names(text, places, words)).view(pair).reshape(-1)
+        hit[places[np.isin(names, known)]] = True
+    return _kept(group, covered(begin, np.flatnonzero(hit), RUN_TOKENS))
 
 
 def _kept(group: pa.Table, marks: list[np.ndarray]) -> pa.Table:
@@ -401,8 +453,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     and what tags or class names mark as menu, header, footer, sidebar, notice, advert, form or comment
     goes. On all other blocks the host decides, on pages with an article as well: the token streams of
     all its pages, whole, are laid into suffix arrays, dealt into groups of about GROUP_BYTES, and the
-    runs stay that fewer than RUN_PAGES pages (and RUN_SHARE of the group) have. Hosts whose tags leave
-    nothing open need no suffix array.
+    runs stay that fewer than RUN_PAGES pages of the host have. Where a host has several groups, the
+    intervals of their suffix arrays are added up by name over the host. Hosts whose tags leave nothing
+    open need no suffix array.
 
     Null or empty html gives empty text; null ids and urls stay null (no host is a host). Repeated
     rows are pages of their own. Broken markup ends at the end of the page. No rows give no rows.
@@ -422,9 +475,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
         blocks.groupBy("host")
         .agg(F.ceil((F.sum("bytes") + 1) / GROUP_BYTES).cast("int").alias("groups"), F.bool_or("judged").alias("open"))
         .where("open")
-        .select("host", "groups"),
+        .select("host", "groups", F.monotonically_increasing_id().alias("host_no")),
         "page_hosts",
     )
     dealt = blocks.join(hosts, "host").withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")))
-    runs = dealt.groupBy("host", "group").applyInArrow(unique_runs, _TEXT)
+    counted = dealt.where("groups > 1").groupBy("host_no", "group").applyInArrow(group_runs, _COUNTED)
+    # At most one row per group and name is collected.
+    shared = (
+        counted.groupBy("host_no", "a", "b")
+        .agg(F.sum("pages").alias("pages"), F.collect_list(F.when(F.col("open"), F.col("group"))).alias("in"))
+        .where((F.col("pages") >= RUN_PAGES) & (F.size("in") > 0))
+        .select("host_no", F.explode("in").alias("group"), "a", "b")
+    )
+    keys = ["host_no", "group"]
+    runs = dealt.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInArrow(unique_runs, _TEXT)
     return told.unionByName(runs).withColumn("n_chars", F.length("text").cast("long"))

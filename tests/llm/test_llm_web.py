@@ -199,3 +199,22 @@ def test_host_judges_what_stands_outside_of_articles(spark):
     rows = [(k, f"http://h/{k}", page.format(menu, teaser, t), "x") for k, t in enumerate(own)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {k: f"{teaser}\n{t}" for k, t in enumerate(own)}
+
+
+def test_runs_count_over_the_whole_host(spark, monkeypatch):
+    """Whether a host is one group or one for about each page, the same runs go."""
+    from gridcut.llm import html_text
+
+    rnd = random.Random(6)
+    own = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(30)) for _ in range(900)]
+    menu = "".join(f"<div>{w}</div>" for w in "Home Products About News Contact Imprint Terms Privacy Jobs Press".split())
+    thrice, twice = "a run of nine words that stands on three", "another run of nine words that is on two"
+    rows = [(k, f"http://h/{k}", f"<body>{menu}<p>{t}</p></body>", "x") for k, t in enumerate(own[:60])]
+    rows += [(k, f"http://h/{k}", f"<body><p>{t}</p></body>", "x") for k, t in enumerate(own) if k >= 60]
+    for at, run in ((100, thrice), (101, thrice), (700, thrice), (200, twice), (800, twice)):
+        rows[at] = (at, "http://h/x", f"<body><p>{own[at]}</p><p>{run}</p></body>", "x")
+    want = {k: t + (f"\n{twice}" if k in (200, 800) else "") for k, t in enumerate(own)}
+    for size in (8 << 20, 4000):
+        monkeypatch.setattr(html_text, "GROUP_BYTES", size)
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == want
