@@ -12,12 +12,15 @@ from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.embed_dedup import near_vectors
 from gridcut.llm.html_text import main_text
 from gridcut.llm.line_dedup import drop_frequent_lines
+from gridcut.llm.mixing import mix_sources, quality_weights
 from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
+from gridcut.llm.search import lexical_search
 from gridcut.llm.sharding import shard_documents
 from gridcut.llm.simhash import near_duplicates
 from gridcut.llm.toxicity import fit_toxicity, score_toxicity
 from gridcut.llm.warc import archive_folder, read_archives, write_archives
+from gridcut.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +171,74 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search(docs, table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+sizes AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+f AS (
+  SELECT doc_id, t, count(*) AS tf
+  FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+v AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM f GROUP BY t), a),
+c AS (
+  SELECT doc_id, t, v.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))) AS c
+  FROM f JOIN v USING (t) JOIN sizes USING (doc_id), a),
+s AS (SELECT item_id, doc_id, CAST(sum(k * c) AS BIGINT) AS score FROM q JOIN c USING (t) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0)
+SELECT item_id, CAST(k AS INT) AS rank, doc_id, score FROM r WHERE k <= 20
+"""
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    weighed = quality_weights(docs, table(spark, sf_dir, "labels"))
+    mixed = mix_sources(weighed, weight="_weight")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+l AS (SELECT doc_id, 0.5 + 1.5 * avg(quality) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+u AS (
+  SELECT d.*, (CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), '-'),
+    coalesce(source, '-'), CAST(size AS VARCHAR))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u FROM d),
+k AS (SELECT u.*, -ln(u) / coalesce(l.weight, 1) AS key FROM u LEFT JOIN l ON u.doc_id = l.doc_id),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source),
+s AS (
+  SELECT *, 3 * z AS cap, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w
+  FROM z),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS i FROM s),
+p AS (
+  SELECT *, CAST((SELECT sum(z) FROM s) - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM o),
+t AS (
+  SELECT source, z, least(CAST(cap AS DOUBLE), w * (SELECT min_by(level, i) FROM p WHERE level * w <= cap)) AS target FROM s),
+b AS (
+  SELECT k.*, z AS source_size, target,
+    CASE WHEN z > 0 THEN least(CAST(floor(target) AS BIGINT) // z, 3) ELSE 0 END AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CAST(floor(target) AS BIGINT) - epochs * source_size - coalesce(sum(size) OVER (PARTITION BY source
+    ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b)
+SELECT doc_id, size, source_size, target, CAST(epochs AS BIGINT) AS epochs,
+  CAST(epochs * size + greatest(least(room, size), 0) AS BIGINT) AS taken FROM c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -179,10 +250,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
+    "op12_search": op12_search,
+    "op13_mixing": op13_mixing,
 }
 CHECKS: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_embed_dedup": OP9_SQL,
+    "op12_search": OP12_SQL,
+    "op13_mixing": OP13_SQL,
 }
