@@ -113,7 +113,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), passages=False)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

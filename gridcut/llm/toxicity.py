@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +35,27 @@ class ToxicModel:
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal-scoring segments (from, to, score), by Ruzzo and Tompa's scan.
 
-        Between telling words the sum falls evenly, so only telling words are visited.
+        Between telling words the sum falls evenly, so only telling words are visited. Each candidate
+        on the stack keeps the place of the nearest one below it whose left sum is smaller, so none
+        is walked twice and the scan is linear.
         """
-        value = np.fromiter(map(self.scores.get, words, (NEUTRAL for _ in words)), np.float64, len(words))
-        before = np.concatenate([[0.0], np.cumsum(value)])
-        stack: list[tuple[int, int, float, float]] = []
-        for i in np.flatnonzero(value > 0).tolist():
-            start, stop, low, high = i, i + 1, before[i], before[i + 1]
-            while True:
-                k = len(stack) - 1
-                while k >= 0 and stack[k][2] >= low:
-                    k -= 1
-                if k < 0 or stack[k][3] >= high:
-                    break
-                start, low = stack[k][0], stack[k][2]
+        value = np.fromiter(map(self.scores.get, words, repeat(NEUTRAL)), np.float64, len(words))
+        at = np.flatnonzero(value > 0)
+        if not len(at):
+            return []
+        total = np.cumsum(value)
+        stack: list[tuple[int, int, float, float, int]] = []
+        for i, high, own in zip(at.tolist(), total[at].tolist(), value[at].tolist(), strict=True):
+            start, low = i, high - own
+            k = len(stack) - 1
+            while k >= 0 and stack[k][2] >= low:
+                k = stack[k][4]
+            while k >= 0 and stack[k][3] < high:
+                start, low, below = stack[k][0], stack[k][2], stack[k][4]
                 del stack[k:]
-            stack.append((start, stop, low, high))
-        return [(a, b, float(high - low)) for a, b, low, high in stack]
+                k = below
+            stack.append((start, i + 1, low, high, k))
+        return [(a, b, high - low) for a, b, low, high, _ in stack]
 
     def measure(
         self, texts: Iterable[str | None], count: int
@@ -176,8 +181,10 @@ def _arrow(passages: list[list[tuple[int, int, float]]]) -> pa.Array:
     return pa.array(named, pa.list_(kind))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of `docs`, and `passages` (word ranges with scores), `score` and `predicted`.
+def score_toxicity(
+    docs: DataFrame, model: ToxicModel, text: str = "text", threshold: float = 0.5, passages: bool = True
+) -> DataFrame:
+    """All columns of `docs`, and `passages` (word ranges with scores, if asked for), `score` and `predicted`.
 
     A text's score is the calibrated chance of label 1, from how unlikely its best segment and all
     its segments are in clean text of its length. Null and empty texts have no segments and get the
@@ -185,12 +192,12 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", thres
     named as the three added ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType([T.StructField("passages", _PASSAGES), T.StructField("score", T.DoubleType())])
+    added = T.StructType([T.StructField("passages", _PASSAGES)] * passages + [T.StructField("score", T.DoubleType())])
 
     def compute(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            values, passages = shared.value.score(texts_of(batch, text), batch.num_rows)
-            yield batch, [_arrow(passages), pa.array(values, pa.float64())]
+            values, found = shared.value.score(texts_of(batch, text), batch.num_rows)
+            yield batch, [_arrow(found)] * passages + [pa.array(values, pa.float64())]
 
     scored = append_columns(docs.drop("predicted"), added, compute)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

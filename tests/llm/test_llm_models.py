@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -111,6 +112,17 @@ def test_segments_equal_brute_force():
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+@pytest.mark.parametrize("kinds", ["axxx", "abcx", "a", "acccccccca"])
+def test_segments_of_very_long_texts_take_linear_time(kinds):
+    rnd = random.Random(6)
+    model = ToxicModel({b"a": 1.37, b"b": 0.71, b"c": -0.93})
+    words = [k.encode() for k in rnd.choices(kinds, k=400_000)]
+    begun = time.process_time()
+    got = model.segments(words)
+    assert time.process_time() - begun < 2 and all(s > 0 for _, _, s in got)
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_logistic_finds_the_weights():
     rnd = np.random.default_rng(1)
     x = rnd.standard_normal((20000, 2))
