@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,49 +19,67 @@ from gridcut.llm.common import arrow_rows, numbered, stored
 
 #: Tokens of a length class; a pattern is a choice of classes whose sizes fill a sequence.
 CLASS = 8
-#: A pattern must fill so much of its sequence; pieces of the others are laid end to end and cut.
+#: A pattern must fill so much of its sequence with tokens; pieces of the others are laid end to end and cut.
 LEAST_FILL = 0.99
 #: A plan is good enough if it needs no more than this part above the sequences that the pieces fill.
 ENOUGH = 0.0005
-#: Pre-tokens whose ids a worker keeps, and as many that it met before those and may forget.
-CACHE = 150_000
+#: Pre-tokens and white-space chunks whose ids a worker keeps, and as many that it met before those and may forget.
+PIECES_KEPT, CHUNKS_KEPT = 200_000, 300_000
+
+
+class Recent(dict):
+    """Values made once for a key; when `room` are kept, the older half is what was not asked for since."""
+
+    def __init__(self, make: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.make, self.room = make, room
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.older.pop(key, None)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
 
 class Encoder:
-    """Ids of a word-level BPE tokenizer file, each distinct pre-token encoded once.
+    """Ids of a word-level BPE tokenizer file, each distinct chunk between white space encoded once.
 
     Texts of Latin-1 characters without control characters or special tokens take the short way:
-    such a text lowers and splits alike here and in the tokenizer, so its pre-tokens go straight to
-    the tokenizer's model. Other texts go through the tokenizer as a whole.
+    such a text lowers and splits alike here and in the tokenizer, and no pre-token spans white
+    space, so a new chunk's pre-tokens go straight to the tokenizer's model. Other texts go through
+    the tokenizer as a whole.
     """
 
-    _plain = regex.compile(r"[\n\r\t\x20-\x7e\xa1-\xac\xae-\xff]*")
+    _plain = re.compile(r"[\n\r\t\x20-\x7e\xa1-\xac\xae-\xff]*")
     _piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        self.pieces = Recent(self._piece_ids, PIECES_KEPT)
+        self.chunks = Recent(self._chunk_ids, CHUNKS_KEPT)
 
-    def _one(self, piece: str) -> bytes:
-        made = self.older.pop(piece, None)
-        if made is None:
-            marks = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            made = np.array([t.id for t in self.whole.model.tokenize(marks)], "<u4").tobytes()
-        if len(self.known) >= CACHE:
-            self.older, self.known = self.known, {}
-        self.known[piece] = made
-        return made
+    def _piece_ids(self, piece: str) -> bytes:
+        marks = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.whole.model.tokenize(marks)]).tobytes()
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.pieces[chunk]
+        return b"".join(map(self.pieces.__getitem__, self._piece.findall(chunk)))
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if "<|" in text or not self._plain.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, one = self.known.get, self._one
-        return b"".join([get(p) or one(p) for p in self._piece.findall(text.lower())])
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def _byte_letters() -> list[str]:
@@ -79,13 +99,22 @@ class Plan:
 
 
 def best_pattern(prices: np.ndarray) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the dearest choice of sizes 1..n (prices[i] for size i + 1) within n."""
+    """Unbounded knapsack: the dearest choice of sizes 1..n (prices[i] for size i + 1) within n.
+
+    Only sizes with a price are tried.
+    """
     n = len(prices)
+    priced = np.flatnonzero(prices > 0)
+    sizes, worth = priced + 1, prices[priced]
     best, last = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    reach = np.searchsorted(sizes, np.arange(n + 1), side="right").tolist()
     for room in range(1, n + 1):
-        worth = prices[:room] + best[room - 1 :: -1][:room]
-        k = int(np.argmax(worth))
-        best[room], last[room] = (worth[k], k + 1) if worth[k] > best[room - 1] else (best[room - 1], 0)
+        best[room] = best[room - 1]
+        if reach[room]:
+            within = worth[: reach[room]] + best[room - sizes[: reach[room]]]
+            k = int(within.argmax())
+            if within[k] > best[room]:
+                best[room], last[room] = within[k], sizes[k]
     chosen, room = np.zeros(n, np.int64), n
     while room > 0:
         if last[room]:
@@ -208,10 +237,11 @@ def pack(
     """Pieces (uid, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
     Full pieces fill a sequence each. What is left of a document has a length class of CLASS tokens;
-    the histogram of classes (its size is fixed by `capacity`) is all that the driver gets. Column
-    generation plans patterns for it, and the n-th document of a class takes the n-th place that the
-    patterns offer the class. Pieces beyond the patterns, and those of patterns filled below
-    LEAST_FILL, are laid end to end in order and cut where a sequence ends.
+    the histogram of classes with their tokens (its size is fixed by `capacity`) is all that the
+    driver gets. Column generation plans patterns for it, and the n-th document of a class takes the
+    n-th place that the patterns offer the class. Pieces beyond the patterns, and those of patterns
+    that the classes' mean tokens fill below LEAST_FILL, are laid end to end in order and cut where a
+    sequence ends; so are very short pieces, most of whose class is room.
 
     Null or empty text is a document of `end_id` alone. Null ids and repeated rows are documents of
     their own. No rows give no rows. Other columns are not carried.
@@ -224,10 +254,13 @@ def pack(
     )
     with arrow_rows(docs.sparkSession, 500):
         pieces = stored(pieces, "pieces")
-    counts = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
-    n_full = counts.get(0, 0)
-    plan = plan_patterns(np.array([counts.get(k + 1, 0) for k in range(units)], np.int64))
-    good = (plan.patterns @ np.arange(1, units + 1) >= LEAST_FILL * units) & (plan.used > 0)
+    by_size = pieces.groupBy("size").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    counts, tokens = np.zeros(units + 1, np.int64), np.zeros(units + 1)
+    for r in by_size.collect():
+        counts[r["size"]], tokens[r["size"]] = r["n"], r["tokens"]
+    n_full, mean = int(counts[0]), tokens / np.maximum(counts, 1)
+    plan = plan_patterns(counts[1:])
+    good = (plan.patterns @ mean[1:] >= LEAST_FILL * capacity) & (plan.used > 0)
     patterns, used = plan.patterns[good], plan.used[good]
     ranked = stored(numbered(pieces.drop("ids"), ["size"], ["uid"], "rank"), "ranked_pieces")
     out = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

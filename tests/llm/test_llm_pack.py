@@ -140,3 +140,17 @@ def test_few_equal_or_no_rows(spark):
     assert {(r.shard, r.slot) for r in sharded(spark, [(1, "a", None, None, None)])} == {(0, 0)}
     same = sharded(spark, [(5, "same", "l", "s", "c")] * 48, 4)
     assert sorted((r.shard, r.slot) for r in same) == [(s, k) for s in range(4) for k in range(12)]
+
+
+@pytest.mark.parametrize("text,tokens", [("", 1), ("a b c d e f g h", 9), ("mixed", None)])
+def test_many_short_documents_leave_little_padding(spark, tokenizer, text, tokens):
+    rnd = random.Random(3)
+    if tokens:
+        docs = [(k, text) for k in range(100_000)]
+    else:
+        docs = [(k, "a " * rnd.choice([0, 1, 7, 8, 9, 40, 300, 1500])) for k in range(3_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = pack(df, word_tokenizer()).groupBy("sequence_id").sum("length").toDF("s", "n").toPandas()["n"].to_numpy()
+    assert not tokens or got.sum() == tokens * len(docs)
+    assert got.sum() >= 0.985 * 4096 * (len(got) - 1)
+    assert not tokens or got.sum() >= 0.99 * 4096 * (len(got) - 1)
