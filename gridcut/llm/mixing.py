@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridcut.llm.common import stored
 
 #: A source's documents are dealt by key into ranges of about so many; only one range of a source is sorted.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 #: Up to so many bytes of source names and figures are broadcast; beyond it the join is salted.
 BROADCAST_BYTES, SALTS = 16 << 20, 64
 #: Parts of the table of sources, each of which is ordered in a task of its own.
@@ -98,6 +98,7 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
     weight: str | None = None,
+    size: str | None = None,
     shares: Sequence[int] = (5, 2, 1),
     most: int = 3,
     seed: str = "mix",
@@ -115,7 +116,8 @@ def mix_sources(
     ranges are summed before the shuffle, and only the one range in which the words end is sorted.
     Rows are written once, narrow (with the columns of `keep`), and read for sums and for the result.
 
-    `weight` names a column of positive weights; without it, or where it is null, not positive or not
+    `size` names a column of sizes known already (null: 0), then `text` is not read. `weight` names a
+    column of positive weights; without it, or where it is null, not positive or not
     finite, a document weighs 1. Null text has size 0 and null source is a source, the last one. Size
     0 takes nothing. Null ids come last among equal keys. Repeated rows are documents of their own
     (alike but for the one in which the words end). Input columns named as the added ones are not
@@ -126,7 +128,8 @@ def mix_sources(
     w = F.when((w > 0) & (w < float("inf")), w).otherwise(1.0)
     idc, src = F.col(f"`{id_col}`"), F.col(f"`{source}`")
     carried = F.struct(idc.alias("id"), *[F.col(f"`{c}`").alias(c) for c in keep]).alias("_row")
-    narrow = docs.select(carried, src.alias("source"), word_count(F.col(f"`{text}`")).alias("size"), w.alias("_weight"))
+    words = F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)) if size else word_count(F.col(f"`{text}`"))
+    narrow = docs.select(carried, src.alias("source"), words.alias("size"), w.alias("_weight"))
     drawn = uniform(seed, F.col("_row.id"), F.col("source"), F.col("size"))
     rows = stored(narrow.withColumn("_key", -F.log(drawn) / F.col("_weight")), "mix_rows")
 

@@ -12,7 +12,7 @@ from gridcut.llm.decontaminate import match_items, with_verdict
 from gridcut.llm.embed_dedup import near_vectors
 from gridcut.llm.html_text import main_text
 from gridcut.llm.line_dedup import drop_frequent_lines
-from gridcut.llm.mixing import mix_sources, quality_weights
+from gridcut.llm.mixing import mix_sources, quality_weights, word_count
 from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
 from gridcut.llm.search import lexical_search
@@ -203,9 +203,9 @@ SELECT item_id, CAST(k AS INT) AS rank, doc_id, score FROM r WHERE k <= 20
 
 
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     weighed = quality_weights(docs, table(spark, sf_dir, "labels"))
-    mixed = mix_sources(weighed, weight="_weight")
+    mixed = mix_sources(weighed, weight="_weight", size="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
