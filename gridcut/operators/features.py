@@ -6,7 +6,6 @@ last released day keeps the windows of its own last day.
 """
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,6 +242,28 @@ def horizon(base: DataFrame, mapping: DataFrame) -> DataFrame:
     return base.where((F.col("dia") >= first) & (F.col("dia") <= last))
 
 
+CARRIED = ["id_estado", *PLANT_COLUMNS, *STATE_COLUMNS]
+MEASURES = sorted({c for c, _ in SLOT_WINDOWS.values()} | set(SLOT_LAST.values()))
+
+
+def _stacked(past: DataFrame, known: DataFrame) -> DataFrame:
+    """Half hours, and 48 probes for each row of `known` at its released day, sorted by entity, slot
+    and day in one partitioning; a probe follows the half hour of its day."""
+    probes = known.select(
+        *ENTITY,
+        F.explode(F.sequence(F.lit(0), F.lit(SLOTS_PER_DAY - 1))).alias("slot"),
+        F.col("ultimo_dia").alias("dia"),
+        F.lit(1).alias("__side"),
+        F.struct(*CARRIED).alias("__known"),
+    )
+    stacked = with_day_number(
+        past.select(*ENTITY_SLOT, "dia", F.lit(0).alias("__side"), *MEASURES).unionByName(
+            probes, allowMissingColumns=True
+        )
+    )
+    return stacked.repartition(*ENTITY_SLOT).sortWithinPartitions(*ENTITY_SLOT, "__n", "__side")
+
+
 def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     """Entity x target day x 48 slots with the features known at each emission.
 
@@ -260,23 +281,7 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     known = plants.select("ultimo_dia", *ENTITY, "id_estado", *PLANT_COLUMNS).join(
         states.select("ultimo_dia", *STATE, *STATE_COLUMNS), ["ultimo_dia", *STATE], "left"
     )
-    carried = ["id_estado", *PLANT_COLUMNS, *STATE_COLUMNS]
-    probes = known.select(
-        *ENTITY,
-        F.explode(F.sequence(F.lit(0), F.lit(SLOTS_PER_DAY - 1))).alias("slot"),
-        F.col("ultimo_dia").alias("dia"),
-        F.lit(1).alias("__side"),
-        F.struct(*carried).alias("__known"),
-    )
-    measures = sorted({c for c, _ in SLOT_WINDOWS.values()} | set(SLOT_LAST.values()))
-    stacked = with_day_number(
-        past.select(*ENTITY_SLOT, "dia", F.lit(0).alias("__side"), *measures).unionByName(
-            probes, allowMissingColumns=True
-        )
-    )
-    placed = stacked.repartition(*ENTITY_SLOT).sortWithinPartitions(
-        *ENTITY_SLOT, "__n", "__side"
-    )
+    placed = _stacked(past, known)
     # Probe rows hold NULL measures, which averages skip, so they do not disturb the windows.
     rolled = placed.withColumns(slot_windows())
     names = [*SLOT_LAST, *SLOT_WINDOWS]
@@ -292,7 +297,7 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
         .select(
             *ENTITY_SLOT,
             F.col("dia").alias("ultimo_dia"),
-            *[F.col("__known").getField(c).alias(c) for c in carried],
+            *[F.col("__known").getField(c).alias(c) for c in CARRIED],
             *[F.col("__found").getField(c).alias(c) for c in names],
         )
     )
@@ -300,17 +305,110 @@ def build_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
     return F.broadcast(days).join(at_release, "ultimo_dia")
 
 
-def emission_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
-    """`build_features` with each released day seeing only its own 92 days, as one emission does.
+def _mean_since(listed: Column, value: str, first: Column) -> Column:
+    """Mean of a value over listed days from `first` on, NULLs skipped, added up in their order."""
+    since = F.transform(F.filter(listed, lambda r: r["n"] >= first), lambda r: r[value])
+    known = F.filter(since, lambda v: v.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return F.try_divide(total, F.size(known))
+
+
+def _listed(columns: Sequence[str], keys: Sequence[str], days: int, kept: Column | None = None) -> Column:
+    """The rows of a date range as an array, in order of days (at most `days` elements)."""
+    row = F.struct(F.col("__n").alias("n"), *columns)
+    row = row if kept is None else F.when(kept, row)
+    return F.collect_list(row).over(day_window(keys, days))
+
+
+def _emitted_days(days_seen: DataFrame, released: DataFrame) -> DataFrame:
+    """Plant and state columns for each entity and released day, from its own days only."""
+    first = F.unix_date("ultimo_dia") - LOOKBACK_DAYS
+    plant = _plant_windows(days_seen).withColumns(
+        {
+            "__week": _listed(["usina_nivel_ultimo"], ENTITY, 7),
+            "__month": _listed(["__rows"], ENTITY, HISTORY_DAYS),
+        }
+    )
+    held = F.filter("__month", lambda r: r["n"] >= first)
+    rows = F.aggregate(held, F.lit(0).cast("long"), lambda a, r: a + r["__rows"])
+    plants = _valid_days(plant, ENTITY, released, LOOKBACK_DAYS).withColumns(
+        {
+            "usina_nivel_7d": _mean_since(F.col("__week"), "usina_nivel_ultimo", first),
+            "cobertura_28d": rows / (HISTORY_DAYS * SLOTS_PER_DAY),
+        }
+    )
+    levels = ["estado_nivel_ultimo", *CAUSE_FLAGS]
+    state = _state_windows(days_seen).withColumn("__month", _listed(levels, STATE, HISTORY_DAYS))
+    week = F.greatest(first, F.unix_date("dia") - 6)
+    states = _valid_days(state, STATE, released, LOOKBACK_DAYS + 1).withColumns(
+        {
+            "estado_nivel_7d": _mean_since(F.col("__month"), "estado_nivel_ultimo", week),
+            "estado_nivel_28d": _mean_since(F.col("__month"), "estado_nivel_ultimo", first),
+            **{
+                f"estado_{c.lower()}_7d": _mean_since(F.col("__month"), flag, week)
+                for c, flag in zip(PREDICTABLE_CAUSES, CAUSE_FLAGS, strict=True)
+            },
+        }
+    )
+    return plants.select("ultimo_dia", *ENTITY, "id_estado", *PLANT_COLUMNS).join(
+        states.select("ultimo_dia", *STATE, *STATE_COLUMNS), ["ultimo_dia", *STATE], "left"
+    )
+
 
-    Target days that share a released day share a plan; the plans are united, so a batch of many
-    emissions equals the single ones also for plants and slots that fell silent long ago. Training
-    and backtests keep the shared horizon of `build_features`.
+def emission_features(base: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`build_features` with each released day L seeing only its own days from L - 91, as one emission
+    does, in one plan for all released days.
+
+    A window of N days ends on day d, the latest one with data, and begins on d - N + 1, or on L - 91
+    if that is later. For 0/1 columns that is a difference of running totals: those of day d, less
+    those before the window, which row d knows, or those before L - 91, which the probe at L knows as
+    a range that ends 92 days earlier. Measures list the (at most 28) rows of their widest window, and
+    the probe averages those that are late enough. So a batch of many emissions equals the single
+    ones also for plants and slots that fell silent long ago, and the number of jobs does not grow
+    with the number of days. Training and backtests keep the shared horizon of `build_features`.
     """
-    mapping = stored(mapping, "dias_emitidos")
-    released = [r[0] for r in mapping.select("ultimo_dia").distinct().orderBy("ultimo_dia").collect()]
-    parts = [build_features(base, mapping.where(F.col("ultimo_dia") == F.lit(d))) for d in released]
-    return reduce(DataFrame.unionByName, parts) if parts else build_features(base, mapping)
+    mapping = stored(mapping.coalesce(1), "dias_emitidos")
+    past = horizon(base, mapping)
+    known = _emitted_days(stored(entity_days(past), "dias_entidade"), mapping)
+    shares = sorted({c for c, _ in SLOT_WINDOWS.values() if c in SHARES})
+    means = sorted({c for c, _ in SLOT_WINDOWS.values() if c not in SHARES})
+    longest = max(d for c, d in SLOT_WINDOWS.values() if c in means)
+    by_day = Window.partitionBy(*ENTITY_SLOT).orderBy("__n")
+
+    def totals(c: str, days: int) -> Column:
+        """Sum and count of a column up to so many days before the row."""
+        w = by_day.rangeBetween(Window.unboundedPreceding, -days)
+        return F.struct(F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias("s"), F.count(c).over(w).alias("k"))
+
+    ends = {f"__now_{c}": totals(c, 0) for c in shares}
+    begins = {f"__to_{n}": totals(c, d) for n, (c, d) in SLOT_WINDOWS.items() if c in SHARES}
+    edges = {f"__edge_{c}": totals(c, LOOKBACK_DAYS + 1) for c in shares}
+    listed = _listed(means, ENTITY_SLOT, longest, F.col("__side") == 0)
+    rolled = _stacked(past, known).withColumns({**ends, **begins, **edges, "__listed": listed})
+    carried = [F.col("__n"), *[F.col(c).alias(n) for n, c in SLOT_LAST.items()], "__listed", *ends, *begins]
+    upto = by_day.orderBy("__n", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last(F.when(F.col("__side") == 0, F.struct(*carried)), ignorenulls=True).over(upto)
+    first = F.col("__n") - LOOKBACK_DAYS
+    probed = rolled.withColumn("__found", found).where("__side = 1")
+    probed = probed.withColumn("__found", F.when(F.col("__found.__n") >= first, F.col("__found")))
+
+    def window_value(name: str, c: str, days: int) -> Column:
+        if c in means:
+            begin = F.greatest(first, F.col("__found.__n") - days + 1)
+            return _mean_since(F.col("__found.__listed"), c, begin)
+        whole = F.col("__found.__n") - days + 1 >= first
+        now, before = F.col(f"__found.__now_{c}"), F.when(whole, F.col(f"__found.__to_{name}")).otherwise(F.col(f"__edge_{c}"))
+        return F.try_divide(now["s"] - before["s"], now["k"] - before["k"])
+
+    at_release = probed.select(
+        *ENTITY_SLOT,
+        F.col("dia").alias("ultimo_dia"),
+        *[F.col("__known").getField(c).alias(c) for c in CARRIED],
+        *[F.col("__found").getField(n).alias(n) for n in SLOT_LAST],
+        *[window_value(n, c, d).alias(n) for n, (c, d) in SLOT_WINDOWS.items()],
+    )
+    days = mapping.select("dia", "ultimo_dia", "idade", "dia_semana", "feriado")
+    return F.broadcast(days).join(at_release, "ultimo_dia")
 
 
 def attach_labels(features: DataFrame, base: DataFrame) -> DataFrame:
