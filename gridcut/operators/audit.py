@@ -4,10 +4,12 @@ Each report is one aggregation pass. Counts of distinct keys are taken by groupi
 first, so duplicates collapse on the map side and no distinct set is held by a single task.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,7 @@ from gridcut.schemas import (
     SUBSYSTEMS,
     dataset_schema,
 )
+from gridcut.session import stored
 
 NULL_MARK = "<NULL>"
 GROUP_CEG = "-"
@@ -47,6 +50,60 @@ def limited(detail: bool = False) -> Column:
 # --- schema ----------------------------------------------------------------------------------
 
 
+def read_footers(spark: SparkSession, folder: str) -> DataFrame:
+    """(arquivo, linhas, colunas) of every Parquet file under a folder, `colunas` an array of (nome, tipo).
+
+    Files are listed by Spark without their contents, and tasks read footers only, one file at a time.
+    """
+    shape = "arquivo string, linhas long, colunas array<struct<nome: string, tipo: string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(quote(path, safe="/:"))
+                with store.open_input_file(inner) as opened:
+                    footer = pq.ParquetFile(opened)
+                    fields = from_arrow_schema(footer.schema_arrow, prefer_timestamp_ntz=True).fields
+                    known = [{"nome": f.name, "tipo": f.dataType.simpleString()} for f in fields]
+                    rows.append((path, footer.metadata.num_rows, known))
+            named = pa.list_(pa.struct([("nome", pa.string()), ("tipo", pa.string())]))
+            kinds = [pa.string(), pa.int64(), named]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                names=["arquivo", "linhas", "colunas"],
+            )
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    paths = files.load(folder).select("path")
+    return paths.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(run, shape)
+
+
+def folder_drift(spark: SparkSession, folder: str, wanted: T.StructType) -> DataFrame:
+    """(arquivo, linhas, coluna, problema, tipo, esperado): columns of a folder's files that are missing,
+    unexpected or of another type than in `wanted`; files that agree give no row."""
+    expected = F.array(
+        *[F.struct(F.lit(f.name).alias("nome"), F.lit(f.dataType.simpleString()).alias("tipo")) for f in wanted]
+    )
+    footers = read_footers(spark, folder)
+    cells = footers.select("arquivo", "linhas", F.explode("colunas").alias("c"), F.lit("tipo").alias("lado")).unionByName(
+        footers.select("arquivo", "linhas", F.explode(expected).alias("c"), F.lit("esperado").alias("lado"))
+    )
+
+    def side(name: str) -> Column:
+        return F.max(F.when(F.col("lado") == name, F.col("c.tipo"))).alias(name)
+
+    both = cells.groupBy("arquivo", "linhas", F.col("c.nome").alias("coluna")).agg(side("tipo"), side("esperado"))
+    kind = F.when(F.col("tipo").isNull(), "ausente").when(F.col("esperado").isNull(), "inesperada").otherwise("tipo")
+    return both.where(~F.col("tipo").eqNullSafe(F.col("esperado"))).select(
+        "arquivo", "linhas", "coluna", kind.alias("problema"), "tipo", "esperado"
+    )
+
+
 def schema_drift(spark: SparkSession, tables: dict[str, T.StructType], wanted: T.StructType):
     """One row per (table, column) that is missing, unexpected or of another type."""
     rows = []
@@ -205,6 +262,71 @@ def numeric_quantiles(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return wide.select("coluna", *values)
 
 
+#: Parts that a value interval is cut into in one pass, and of a doubling (by e) in the first one.
+INTERVAL_PARTS, FIRST_PARTS = 4096, 64
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str] | None = None, quantiles: Sequence[float] = QUANTILES
+) -> DataFrame:
+    """(coluna, q0, q1, ..): the least finite value whose rank reaches each share of the finite values.
+
+    Rank selection for all columns and quantiles at once: a pass counts values by interval and part
+    of it before the shuffle, running counts tell the part that holds each rank, and the next pass
+    looks into these parts alone. Parts are relative to size at first, then even, and an interval
+    shrinks to the values found in it, so a handful of passes is enough whatever the distribution.
+    Nothing is sorted; the driver sees one row for each quantile. `df` is read in every pass: pass a
+    stored table or a scan. A column without finite values has NULLs.
+    """
+    names = list(columns or float_columns(df))
+    spark = df.sparkSession
+    wanted = {(c, k): None for c in names for k in range(len(quantiles))}  # -> interval and rank in it
+    found: dict[tuple[str, int], float | None] = {}
+    passes = 0
+    while len(found) < len(wanted):
+        passes += 1
+        cells = []
+        for c in names:
+            value = F.col(f"`{c}`").cast("double")
+            if passes == 1:
+                part = F.floor(F.signum(value) * F.log1p(F.abs(value)) * FIRST_PARTS)
+                inside = [(f"{c}", is_finite(f"`{c}`"), part)]
+            else:
+                open_ = {w[0] for key, w in wanted.items() if key[0] == c and key not in found}
+                inside = [
+                    (f"{c}:{low!r}", value.between(low, high), F.floor((value - low) / (high - low) * INTERVAL_PARTS))
+                    for low, high in sorted(open_)
+                ]
+            for name, within, part in inside:
+                cells.append(F.when(within, F.struct(F.lit(name).alias("i"), part.alias("p"), value.alias("v"))))
+        counted = (
+            df.select(F.explode(F.array(*cells)).alias("c"))
+            .where("c is not null")
+            .groupBy("c.i", "c.p")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("c.v").alias("low"), F.max("c.v").alias("high"))
+        )
+        parts = Window.partitionBy("i")
+        upto = parts.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counted.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(parts)})
+        asked = []
+        for (c, k), w in wanted.items():
+            if (c, k) not in found:
+                asked.append((c, k, c if w is None else f"{c}:{w[0][0]!r}", None if w is None else w[1], quantiles[k]))
+        asks = spark.createDataFrame(asked, "c string, k int, i string, rank long, q double")
+        share = F.greatest(F.lit(1), F.col("all") - F.floor(F.col("all") - F.col("q") * F.col("all"))).cast("long")
+        rank = F.coalesce("rank", share)
+        hits = summed.join(F.broadcast(asks), "i").withColumn("at", rank - (F.col("upto") - F.col("n")))
+        got = {(r["c"], r["k"]): r for r in hits.where("at > 0 and at <= n").collect()}  # one row a quantile
+        for key in [k for k in wanted if k not in found]:
+            r = got.get(key)
+            if r is None or r["low"] == r["high"]:
+                found[key] = None if r is None else r["low"]
+            else:
+                wanted[key] = ((r["low"], r["high"]), r["at"])
+    shape = "coluna string, " + ", ".join(f"q{k} double" for k in range(len(quantiles)))
+    return spark.createDataFrame([(c, *[found[c, k] for k in range(len(quantiles))]) for c in names], shape)
+
+
 def domains_of(sources: Sequence[str], detail: bool = False) -> dict[str, Sequence]:
     out = {"fonte": tuple(sources), "id_subsistema": SUBSYSTEMS}
     if not detail:
@@ -388,15 +510,45 @@ def file_status(spark: SparkSession, path: str, dataset: str) -> str:
 # --- comparisons between tables --------------------------------------------------------------
 
 
+def month_fingerprints(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(fonte, period, rows, sum1, sum2): a hash of the multiset of rows of each source and month.
+
+    A row's two 64-bit hashes (which tell NULL from absent) are added up, so order does not matter and
+    repeats count. Rows are added before the shuffle, of which one row a month comes out.
+    """
+    told = [F.col(f"`{c}`") for c in columns]
+    blanks = [c.isNull() for c in told]
+    hashes = {"sum1": F.xxhash64(*told, *blanks), "sum2": F.xxhash64(*blanks, *reversed(told), F.lit(2))}
+    return df.groupBy("fonte", month_label("din_instante").alias("period")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(h.cast("decimal(20,0)")).alias(n) for n, h in hashes.items()],
+    )
+
+
 def multiset_difference(main: DataFrame, integrated: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (with multiplicity) of one table that the other lacks, by source and month.
 
-    Both sides are counted per distinct row in one shuffle; EXCEPT ALL in either direction is the
-    positive part of the count difference.
+    Months whose fingerprints agree on both sides are equal and go no further: their rows are never
+    shuffled. The rest are counted per distinct row in one shuffle; EXCEPT ALL in either direction is
+    the positive part of the count difference. The months that differ are calendar-sized.
     """
-    sides = main.select(*columns, F.lit(1).alias("__d")).unionByName(
-        integrated.select(*columns, F.lit(-1).alias("__d"))
+    own, other = (month_fingerprints(d, columns) for d in (main, integrated))
+    facts = ["rows", "sum1", "sum2"]
+    renamed = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
+    on = F.col("fonte").eqNullSafe(F.col("o_fonte")) & F.col("period").eqNullSafe(F.col("o_period"))
+    apart = own.join(renamed, on, "full").where(~all_of([F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in facts]))
+    present = F.col("rows").isNotNull()
+    apart = apart.select(
+        F.when(present, F.col("fonte")).otherwise(F.col("o_fonte")).alias("__f"),
+        F.when(present, F.col("period")).otherwise(F.col("o_period")).alias("__p"),
     )
+    apart = stored(apart, "meses_diferentes")
+
+    def differing(df: DataFrame, sign: int) -> DataFrame:
+        met = F.col("fonte").eqNullSafe(F.col("__f")) & month_label("din_instante").eqNullSafe(F.col("__p"))
+        return df.join(F.broadcast(apart), met, "left_semi").select(*columns, F.lit(sign).alias("__d"))
+
+    sides = differing(main, 1).unionByName(differing(integrated, -1))
     net = sides.groupBy(*columns).agg(F.sum("__d").alias("__net")).where("__net <> 0")
     return net.groupBy(
         F.when(F.col("__net") > 0, "main_minus_integrated")

@@ -152,3 +152,64 @@ def test_audit_report_is_written(spark, folder):
     write_tables(audit_tables(main_rows(spark, [{}]), ("eolica",)), folder)
     assert spark.read.json(f"{folder}/status").first()["status"] == "ok"
     assert spark.read.json(f"{folder}/nulls").count() == 24
+
+
+def test_exact_quantiles_equal_sorted_ranks(spark, monkeypatch):
+    import math
+    import random
+
+    rnd = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    wide = [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-300, 300) for _ in range(400)]
+    columns = {
+        "wide": wide,
+        "ties": [float(rnd.choice([0, 0, 0, 1, 2])) for _ in range(400)],
+        "close": [1 + k * 2**-52 for k in range(400)],
+        "odd": [rnd.choice([inf, -inf, nan, None, -0.0, 0.5, 7.0]) for _ in range(400)],
+        "none": [rnd.choice([nan, None]) for _ in range(400)],
+    }
+    table = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    shares = (0.0, 0.001, 0.25, 0.5, 0.999, 1.0)
+    for parts in (4096, 3):
+        monkeypatch.setattr(A, "INTERVAL_PARTS", parts)
+        got = {r["coluna"]: list(r)[1:] for r in A.exact_quantiles(table.repartition(3), quantiles=shares).collect()}
+        for name, values in columns.items():
+            own = sorted(v for v in values if v is not None and math.isfinite(v))
+            want = [own[max(1, len(own) - math.floor(len(own) - q * len(own))) - 1] if own else None for q in shares]
+            assert got[name] == want, (name, parts)
+
+
+def test_equal_months_are_not_compared_row_by_row(spark, monkeypatch):
+    from datetime import datetime
+
+    def row(month, gen, source="eolica"):
+        return (source, "A", datetime(2025, month, 1) if month else None, gen, None)
+
+    schema = "fonte string, id_ons string, din_instante timestamp_ntz, v double, w double"
+    same = [row(1, 1.0), row(1, 1.0), row(2, None), row(None, 3.0)]
+    a = spark.createDataFrame([*same, row(3, 1.0), row(3, 1.0), row(4, 5.0), row(5, 2.0, None)], schema)
+    b = spark.createDataFrame([*same[::-1], row(3, 1.0), row(5, 2.0, None), row(6, 1.0, "x")], schema)
+    swapped = b.select("fonte", "id_ons", "din_instante", F.col("w").alias("v"), F.col("v").alias("w"))
+    seen = []
+    kept = A.stored
+    monkeypatch.setattr(A, "stored", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    got = {(r["direction"], r["fonte"], r["period"]): r["rows"] for r in A.multiset_difference(a, b, a.columns).collect()}
+    assert got == {
+        ("main_minus_integrated", "eolica", "2025-03"): 1,
+        ("main_minus_integrated", "eolica", "2025-04"): 1,
+        ("integrated_minus_main", "x", "2025-06"): 1,
+    }
+    assert {tuple(r) for r in seen[0].collect()} == {("eolica", "2025-03"), ("eolica", "2025-04"), ("x", "2025-06")}
+    assert A.multiset_difference(b, swapped, a.columns).agg(F.sum("rows")).first()[0] == 12
+    assert A.multiset_difference(a, a.repartition(3), a.columns).count() == 0
+
+
+def test_folder_drift_reads_footers_of_all_files(spark, folder):
+    good = spark.createDataFrame([(1, "a")], "k long, s string").coalesce(1)
+    good.write.parquet(f"{folder}/x/ok")
+    good.withColumn("k", F.col("k").cast("int")).write.parquet(f"{folder}/x/y/retyped")
+    good.limit(0).drop("s").coalesce(1).withColumn("extra", F.lit(1.5)).write.parquet(f"{folder}/odd name %41")
+    got = sorted((r["coluna"], r["problema"], r["tipo"], r["esperado"], r["linhas"]) for r in A.folder_drift(spark, folder, good.schema).collect())
+    assert got == [
+        ("extra", "inesperada", "double", None, 0), ("k", "tipo", "int", "bigint", 1), ("s", "ausente", None, "string", 0)
+    ]
