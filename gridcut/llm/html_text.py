@@ -60,6 +60,13 @@ HOLDERS = frozenset(
     "icon icons inner inside item items left link links list main outer panel primary right row secondary section slot "
     "small large space strip text title top unit wrap wrapper zone articles posts stories".split()
 )
+# Of the telling words those that make an article in such an element, or so named, one beside the main text.
+ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar rail widget widgets related recommended "
+    "recommendations comment comments disqus respond replies".split()
+)
+# Words that say the same of an article's own name.
+TEASING = ASIDE | frozenset("teaser teasers card cards preview".split())
 # End of the fixed values.
 
 _TAG = re.compile(
@@ -69,6 +76,9 @@ _TAG = re.compile(
     r"|<[!?/][^>]*+>?",
     re.S | re.I,
 )
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_UNSHOWN = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.I)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -80,12 +90,13 @@ class Block:
 
 
 class _Open:
-    """An open element; `drops` is settled when it ends, `outer` is the dropped element around it."""
+    """An open element; `drops` is settled at the end, `outer` is the dropped element around it."""
 
-    __slots__ = ("name", "drops", "outer", "holds", "lifted")
+    __slots__ = ("name", "drops", "outer", "holds", "may_hold", "lifted", "own", "aside")
 
     def __init__(self, name: str) -> None:
-        self.name, self.drops, self.outer, self.holds, self.lifted = name, False, None, False, True
+        self.name, self.drops, self.outer, self.lifted, self.own, self.aside = name, False, None, True, False, False
+        self.holds = self.may_hold = False
 
 
 @dataclass
@@ -93,7 +104,9 @@ class _Reader:
     """Reads tags in order and keeps the open elements, with the end tags that HTML lets be left out.
 
     An element that is dropped ends at its end tag or with an element around it. If an article (or
-    main) stands in it, it is not dropped after all; of TANGENT only if its own end tag is missing.
+    main) stands in it, it is not dropped after all; of TANGENT and hidden elements only if their own end
+    tag is missing. An article in an element named as ASIDE says, or named so itself (TEASING), counts as
+    one only if no other article or main stands on the page.
     """
 
     blocks: list[Block] = field(default_factory=list)
@@ -107,6 +120,9 @@ class _Reader:
     tables: list[int] = field(default_factory=list)
     dropping: list[_Open] = field(default_factory=list)
     holding: int = 0
+    may_holding: int = 0
+    asides: int = 0
+    plain: int = 0
     dropped: list[_Open] = field(default_factory=list)
     found: list[tuple[Block, _Open]] = field(default_factory=list)
     article: int = 0
@@ -129,7 +145,8 @@ class _Reader:
         self.end_block()
         self.pop_to(0, "")
         for e in self.dropped:  # an outer element stands before those in it
-            e.drops = e.drops or (e.outer is not None and e.outer.drops)
+            held = e.holds or (e.may_hold and not self.plain)
+            e.drops = not (held and (e.lifted or not e.own)) or (e.outer is not None and e.outer.drops)
         for block, by in self.found:
             block.dropped = by.drops
         return self.blocks
@@ -144,9 +161,10 @@ class _Reader:
             if self.dropping and self.dropping[-1] is e:
                 self.end_block()
                 self.dropping.pop()
-                own = len(self.stack) == place + 1 and closing == e.name
-                e.drops = not (e.holds and (e.lifted or not own))
+                e.own = len(self.stack) == place + 1 and closing == e.name
                 self.holding = min(self.holding, len(self.dropping))
+                self.may_holding = min(self.may_holding, len(self.dropping))
+                self.asides -= e.aside
             self.stack.pop()
             self.at[e.name].pop()
             if e.name in SPECIAL or e.name in SCOPE:
@@ -158,12 +176,16 @@ class _Reader:
             elif e.name in HEADINGS:
                 self.heading -= 1
 
-    def push(self, name: str, drops: bool) -> None:
+    def push(self, name: str, drops: bool, aside: bool = False, hidden: bool = False) -> None:
+        """Opens an element; `aside` says that its name is one of ASIDE, or for an article of TEASING."""
         e, place = _Open(name), len(self.stack)
+        drops = drops or hidden or (aside and name == "article")
         if drops:
             self.end_block()
             e.outer = self.dropping[-1] if self.dropping else None
-            e.lifted = name not in TANGENT
+            e.lifted = name not in TANGENT and not hidden
+            e.aside = aside
+            self.asides += aside
             self.dropping.append(e)
             self.dropped.append(e)
         self.stack.append(e)
@@ -178,9 +200,15 @@ class _Reader:
             self.tables.append(place)
         if name in ("article", "main"):
             self.article += 1
-            for held in self.dropping[self.holding :]:
-                held.holds = True
-            self.holding = len(self.dropping)
+            if self.asides:
+                for held in self.dropping[self.may_holding :]:
+                    held.may_hold = True
+                self.may_holding = len(self.dropping)
+            else:
+                for held in self.dropping[self.holding :]:
+                    held.holds = True
+                self.holding = len(self.dropping)
+                self.plain += not hidden
         elif name in HEADINGS:
             self.heading += 1
 
@@ -244,11 +272,19 @@ class _Reader:
             self.close(name)
         elif not (rest.endswith("/") and name not in BLOCKS):
             self.imply(name)
-            told = rest and name not in ("article", "main") and _telling(rest)
-            self.push(name, name == "header" or name in DROPPED or bool(told))
+            told = rest and name != "main" and name not in HEADINGS and _telling(rest, TEASING if name == "article" else TELLING)
+            aside = bool(told) and (name == "article" or _telling(rest, ASIDE))
+            drops = name == "header" or name in DROPPED or bool(told)
+            self.push(name, drops, aside, bool(rest) and _unshown(rest))
+
+
+def _unshown(rest: str) -> bool:
+    """Whether an element is hidden by its attribute or its own style."""
+    low = rest.lower()
+    return "hidden" in low and bool(_HIDDEN.search(_QUOTED.sub("", rest))) or "none" in low and bool(_UNSHOWN.search(rest))
 
 
-def _telling(rest: str) -> bool:
+def _telling(rest: str, telling: frozenset[str]) -> bool:
     """Whether a class name, id or role is a telling word or a compound whose head is one: its last word
     (site-header), or the first if only holders and numbers follow (ad-slot-2); not has-sidebar, comments-open."""
     for m in _NAMED.finditer(rest):
@@ -258,7 +294,7 @@ def _telling(rest: str) -> bool:
                 words.pop()
             if not words or words[0] in STATES and len(words) > 1:
                 continue
-            if words[-1] in TELLING or words[0] in TELLING and HOLDERS.issuperset(words[1:]):
+            if words[-1] in telling or words[0] in telling and HOLDERS.issuperset(words[1:]):
                 return True
     return False
 

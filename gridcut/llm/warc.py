@@ -128,6 +128,8 @@ class _BundleWriter:
         self.file.close()
 
 
+#: Most tasks that read bundles; beyond it a task reads several one after another.
+MOST_TASKS = 20_000
 INDEX = "record_id string, page_id long, bundle string, frame long, offset long, length long"
 
 
@@ -233,7 +235,14 @@ def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
                 reader.close()
 
-    return index.select("bundle").distinct().mapInArrow(run, schema)
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(_tasks(bundles), "bundle").mapInArrow(run, schema)
+
+
+def _tasks(bundles: DataFrame) -> int:
+    """A task for each bundle or a few: their paths are a small table, their contents are not, so the
+    number is set and adaptive execution does not fold it."""
+    return max(1, min(bundles.count(), MOST_TASKS))
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -278,7 +287,8 @@ def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     names = ["record_id", "page_id", "bundle", "frame", "offset", "length"]
-    dealt = places.select(*names).repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    tasks = _tasks(places.select("bundle").distinct())
+    dealt = places.select(*names).repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame", "offset")
     return dealt.mapInArrow(run, "record_id string, page_id long, payload binary")
 
 

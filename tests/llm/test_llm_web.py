@@ -218,3 +218,38 @@ def test_runs_count_over_the_whole_host(spark, monkeypatch):
         monkeypatch.setattr(html_text, "GROUP_BYTES", size)
         got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
         assert got == want
+
+
+def test_bundles_are_read_in_tasks_of_their_own(spark, monkeypatch):
+    import gridcut.llm.warc as module
+
+    monkeypatch.setattr(module, "BUNDLE_BYTES", 1)
+    rows = [(k, f"u{k}", f"page {k} " * 50) for k in range(60)]
+    index = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), archive_folder(spark))
+    bundles = index.select("bundle").distinct().count()
+    read = read_archives(index)
+    assert bundles >= 40 and read.rdd.getNumPartitions() >= bundles // 2 and read.count() == 60
+    got = fetch(index, spark.range(50).selectExpr("id AS page_id"))
+    assert got.rdd.getNumPartitions() >= 20 and got.count() == 50
+
+
+@pytest.mark.parametrize(
+    "page,kept",
+    [
+        ("<article><p>main</p></article><div id='comments'><ol><li class='comment'><article class='comment-body'><p>x</p></article></li></ol></div>", "main"),
+        ("<article><p>main</p><section class='comments'><article><p>x</p></article></section></article>", "main"),
+        ("<main><p>main</p><article class='comment'><p>x</p></article><p>more</p></main>", "main\nmore"),
+        ("<article><p>main</p></article><div class='sidebar'><article class='teaser'><p>x</p></article></div>", "main"),
+        ("<div class='related-posts'><article><p>x</p></article></div><article><p>main</p></article>", "main"),
+        ("<div class='ad'><article><p>x</p></article></div><article><p>main</p></article><article class='card'>y</article>", "main"),
+        ("<article><h2 id='search'>Search</h2><p>a</p><h2 id='navigation'>Nav</h2><h3 id='social'>Soc</h3></article>", "Search\na\nNav\nSoc"),
+        ("<article><p hidden>x</p><p>main</p><p style='color:red; display : none'>y</p><p class='hidden-gem'>gem</p></article>", "main\ngem"),
+        ("<article><p data-hidden='1' title='hidden none'>main</p><div hidden><article>x</article></div></article>", "main"),
+        ("<div class='sidebar'><article><p>only</p></article></div>", "only"),
+        ("<article class='teaser'><p>only</p></article>", "only"),
+        ("<div class='comments'><main><p>only</p></main></div>", "only"),
+        ("<article class='post-card-list'><p>main</p></article>", "main"),
+    ],
+)
+def test_articles_beside_the_main_text_and_hidden_parts_go(page, kept):
+    assert "\n".join(b.text for b in blocks_of(page) if not b.dropped) == kept
