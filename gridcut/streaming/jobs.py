@@ -50,37 +50,53 @@ def ingest_republished(
     return _each_batch(stream, merge, checkpoint)
 
 
-def maintain_cuts(targets: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the positive half hours of each entity and day, whatever order files come in.
-
-    A row of the table is an entity's day with its sorted positive instants. A micro-batch unites
-    its rows with those of the months it touches; nothing is ever late, and a batch that comes again
-    changes nothing. `stored_episodes` reads the episodes, also those still open at the end.
+def maintain_cuts(targets: DataFrame, table: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keep the half hours of each entity and day, whatever order files come in.
+
+    A row of the table is an entity's day with the state of its half hours (at most 48 on the grid).
+    A micro-batch unites its rows with those of the months it touches; nothing is ever late, and a
+    batch that comes again changes nothing. `stored_episodes` reads the episodes, also those still
+    open at the end.
+
+    `order` names a column that grows with each publication: of several states of a half hour the one
+    with the largest order counts (of equal ones the positive one), so a correction takes a cut back,
+    also if it arrives before what it corrects. Without it only positive half hours are kept, and a
+    half hour that was positive once stays so.
     """
+    positive = F.coalesce("corte_positivo", F.lit(False))
+    place = F.coalesce(F.col(order).cast("long"), F.lit(-1).cast("long")) if order else F.lit(0).cast("long")
+    keys = [*ENTITY, "dia", MONTH_PARTITION]
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """Rows of single half hours as one row a day; of each half hour the latest state."""
+        latest = rows.groupBy(*keys, "instante").agg(F.max(F.struct("ordem", "positivo")).alias("s"))
+        state = F.struct("instante", "s.ordem", "s.positivo")
+        return latest.groupBy(*keys).agg(F.array_sort(F.collect_list(state)).alias("instantes"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        day = F.to_date("din_instante")
-        fresh = (
-            batch.where("corte_positivo and din_instante is not null")
-            .groupBy(*ENTITY, day.alias("dia"))
-            .agg(F.collect_set("din_instante").alias("instantes"))
-            .withColumn(MONTH_PARTITION, _month("dia"))
+        fresh = batch.where("din_instante is not null").select(
+            *ENTITY,
+            F.to_date("din_instante").alias("dia"),
+            F.col("din_instante").alias("instante"),
+            place.alias("ordem"),
+            positive.alias("positivo"),
         )
+        fresh = (fresh if order else fresh.where("positivo")).withColumn(MONTH_PARTITION, _month("dia"))
 
         def unite(rows: DataFrame) -> DataFrame:
-            every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("instantes"))))
-            return rows.groupBy(*ENTITY, "dia", MONTH_PARTITION).agg(every.alias("instantes"))
+            return listed(rows.select(*keys, F.inline("instantes")))
 
-        _rewrite_months(fresh, table, unite)
+        _rewrite_months(listed(fresh), table, unite)
 
     return _each_batch(targets, merge, checkpoint)
 
 
 def stored_episodes(spark: SparkSession, table: str) -> DataFrame:
     """Cut episodes of all half hours that `maintain_cuts` has stored: the batch operator on them."""
-    days = spark.read.parquet(table)
-    slots = days.select(*ENTITY, F.explode("instantes").alias("din_instante"))
-    return episodes(slots.withColumn("corte_positivo", F.lit(True)))
+    slots = spark.read.parquet(table).select(*ENTITY, F.inline("instantes")).where("positivo")
+    return episodes(
+        slots.select(*ENTITY, F.col("instante").alias("din_instante"), F.lit(True).alias("corte_positivo"))
+    )
 
 
 def _month(instant: str) -> Column:
