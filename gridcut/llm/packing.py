@@ -58,13 +58,13 @@ class Encoder:
     _plain = re.compile(r"[\n\r\t\x20-\x7e\xa1-\xac\xae-\xff]*")
     _piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES_KEPT, chunks: int = CHUNKS_KEPT):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
-        self.pieces = Recent(self._piece_ids, PIECES_KEPT)
-        self.chunks = Recent(self._chunk_ids, CHUNKS_KEPT)
+        self.pieces = Recent(self._piece_ids, pieces)
+        self.chunks = Recent(self._chunk_ids, chunks)
 
     def _piece_ids(self, piece: str) -> bytes:
         marks = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
@@ -191,11 +191,13 @@ _PIECES = T.StructType(
 )
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text: str) -> DataFrame:
+def tokenized_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text: str, kept: tuple[int, int]
+) -> DataFrame:
     """Documents as ids with `end_id` after them, cut at multiples of `capacity` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, kept)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -216,14 +218,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     return narrow.mapInArrow(run, _PIECES)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, kept: tuple[int, int]) -> Encoder:
     """One encoder for a Python worker, so that what it knows serves the next task too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = Encoder(path, *kept)
+    return _ENCODERS[path, kept]
 
 
 def pack(
@@ -233,6 +235,7 @@ def pack(
     capacity: int = 4096,
     id_col: str = "doc_id",
     text: str = "text",
+    kept: tuple[int, int] = (PIECES_KEPT, CHUNKS_KEPT),
 ) -> DataFrame:
     """Pieces (uid, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
@@ -244,11 +247,12 @@ def pack(
     sequence ends; so are very short pieces, most of whose class is room.
 
     Null or empty text is a document of `end_id` alone. Null ids and repeated rows are documents of
-    their own. No rows give no rows. Other columns are not carried.
+    their own. No rows give no rows. Other columns are not carried. `kept` bounds what a Python worker
+    remembers (pre-tokens, chunks), at some 250 bytes each and for two ages.
     """
     units = capacity // CLASS
     whole = F.col("length") == capacity
-    pieces = tokenized_pieces(docs, tokenizer, end_id, capacity, id_col, text)
+    pieces = tokenized_pieces(docs, tokenizer, end_id, capacity, id_col, text, kept)
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id()).withColumn(
         "size", F.when(whole, 0).otherwise(F.ceil(F.col("length") / CLASS)).cast("int")
     )
