@@ -16,6 +16,10 @@ from gridcut.llm.simhash import keep_one
 #: SQL can't express the stages: the first is a learned classifier. Tests compare with plain Python.
 ORACLE_SQL = None
 
+#: Pre-tokens and chunks that a worker of the packing stage remembers: earlier stages' workers live on
+#: beside it, so it has less memory than packing alone.
+KEPT = (75_000, 75_000)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, unchanged. It learns from this stage's own documents."""
@@ -42,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return pack(docs, word_tokenizer()).drop("uid")
+    return pack(docs, word_tokenizer(), kept=KEPT).drop("uid")
 
 
 STAGES = [
