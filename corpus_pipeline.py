@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 #: Pre-tokens and chunks that a worker of the packing stage remembers: earlier stages' workers live on
 #: beside it, so it has less memory than packing alone.
-KEPT = (75_000, 75_000)
+KEPT = (40_000, 60_000)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
