@@ -26,7 +26,7 @@ def steps(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(CHECKS) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(CHECKS) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line dedup", "near dedup", "decontaminate", "packing"]
 
 
