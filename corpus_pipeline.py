@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcut.llm.common import stored
-from gridcut.llm.decontaminate import match_items, with_verdict
+from gridcut.llm.decontaminate import match_items, remove_spans, with_verdict
 from gridcut.llm.line_dedup import drop_frequent_lines
 from gridcut.llm.packing import pack
 from gridcut.llm.quality import fit_quality, score_quality
@@ -39,9 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, unchanged."""
+    """Documents that are not contaminated, without the long hit spans that they hold nevertheless;
+    where a span goes n_chars follows the text. All other documents stay unchanged."""
     found = with_verdict(match_items(docs, table(spark, sf_dir, "benchmark")))
-    return found.where("not contaminated").select(*docs.columns)
+    clean = remove_spans(found.where("not contaminated"))
+    same = F.col("clean_text").eqNullSafe(F.col("text"))
+    n_chars = F.when(same, F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))
+    return clean.withColumns({"n_chars": n_chars, "text": F.col("clean_text")}).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
