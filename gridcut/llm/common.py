@@ -69,6 +69,14 @@ def append_columns(
     return kept.mapInArrow(run, schema)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, or one with underscores before it that no column of `df` bears in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold_of(id_col: Column, parts: int) -> Column:
     """crc32 of an id written as text, modulo the number of folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
@@ -100,4 +108,4 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, buc
     )
 
 
-__all__ = ["LOWER", "UPPER", "WHITE", "append_columns", "arrow_rows", "fold_of", "numbered", "stored", "texts_of", "word_bytes"]
+__all__ = ["LOWER", "UPPER", "WHITE", "append_columns", "arrow_rows", "fold_of", "fresh_name", "numbered", "stored", "texts_of", "word_bytes"]

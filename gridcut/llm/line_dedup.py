@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcut.llm.common import LOWER, UPPER, WHITE, stored
+from gridcut.llm.common import LOWER, UPPER, WHITE, fresh_name, stored
 
 #: Up to so many frequent keys (32 bytes each) are broadcast; beyond it the same join shuffles.
 BROADCAST_KEYS = 500_000
@@ -52,29 +52,30 @@ def drop_frequent_lines(
     Null or empty text is one empty line and becomes empty text. A line of fewer than `min_chars`
     code points is never dropped; a document of which all lines go has empty text. Repeated rows are
     documents of their own and come out alike. Null ids are allowed. No rows give no rows. Columns
-    named `n_lines` or `n_dropped` are replaced.
+    named `n_lines` or `n_dropped` are replaced, others kept whatever their names.
     """
     frequent = stored(frequent_keys(docs, text, min_docs, min_chars), "frequent_lines")
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
     idc, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
-    marks = [F.xxhash64(idc, body).alias("_mark1"), F.xxhash64(body, idc, F.lit(1)).alias("_mark2")]
+    mark1, mark2, lines, gone = (fresh_name(docs, n) for n in ("_mark1", "_mark2", "_lines", "_gone"))
+    marks = [F.xxhash64(idc, body).alias(mark1), F.xxhash64(body, idc, F.lit(1)).alias(mark2)]
     hits = (
         docs.select(*marks, F.posexplode(_lines(text)).alias("_at", "_line"))
-        .select("_mark1", "_mark2", "_at", _hashed(F.col("_line"), min_chars).alias("_key"))
+        .select(mark1, mark2, "_at", _hashed(F.col("_line"), min_chars).alias("_key"))
         .join(frequent, "_key", "left_semi")
-        .groupBy("_mark1", "_mark2")
-        .agg(F.collect_set("_at").alias("_gone"))
+        .groupBy(mark1, mark2)
+        .agg(F.collect_set("_at").alias(gone))
     )
     others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    split = docs.select(*[f"`{c}`" for c in others], *marks, _lines(text).alias("_lines"))
+    split = docs.select(*[f"`{c}`" for c in others], *marks, _lines(text).alias(lines))
     split = split.drop(text) if text in others else split
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(every, gone), lambda i: F.get(F.col("_lines"), i))
-    joined = split.join(hits, ["_mark1", "_mark2"], "left").withColumn(text, F.array_join(kept, "\n"))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    dropped = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(every, dropped), lambda i: F.get(F.col(lines), i))
+    joined = split.join(hits, [mark1, mark2], "left").withColumn(text, F.array_join(kept, "\n"))
     return joined.select(
         *[f"`{c}`" for c in others],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(dropped).cast("long").alias("n_dropped"),
     )
