@@ -48,6 +48,16 @@ def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "", 2, 2)] * 12 + [(2, "c\n", 3, 1)]
 
 
+def test_line_dedup_keeps_columns_named_like_its_own(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = docs.selectExpr("*", "1 as _lines", "2 as _mark1", "3 as _MARK2", "4 as _gone", "5 as _at", "6 as _key", "7 as _line", "8 as `a.b`")
+    got = drop_frequent_lines(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_dropped"]
+    plain = drop_frequent_lines(docs)
+    assert rows_of(got, "doc_id", "text", "n_lines") == rows_of(plain, "doc_id", "text", "n_lines")
+    assert {tuple(r)[2:10] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+
+
 def test_line_dedup_by_shuffle_gives_the_same(spark, texts, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     first = rows_of(drop_frequent_lines(docs), "doc_id", "text")
@@ -91,11 +101,31 @@ def test_decontamination_in_several_automata(spark, benchmark, monkeypatch):
     one = rows_of(match_items(docs, items), *cols)
     monkeypatch.setattr("gridcut.llm.decontaminate.AUTOMATON_BYTES", 200)
     assert rows_of(match_items(docs, items), *cols) == one
+    odd = docs.selectExpr("*", "1 as _uid", "2 as uid", "'s' as _spans", "'i' as _items", "'h' as Hit_Ranges", "3 as `a.b`")
+    got = match_items(odd, items)
+    assert got.columns == ["doc_id", "text", "_uid", "uid", "_spans", "_items", "a.b", "n_words", "hit_ranges", "item_ids"]
+    assert rows_of(got, *cols) == one
     none = items.where("item_id = 99")
     assert {r.n_hit for r in with_verdict(match_items(docs, none)).collect()} == {0}
     assert match_items(docs.limit(0), items).count() == 0
 
 
+def test_parts_find_passages_that_span_their_items(spark, monkeypatch):
+    """Windows of items in different parts overlap in a document; one text bears many ids."""
+    rnd = random.Random(11)
+    words = [f"q{rnd.randrange(50)}" for _ in range(400)]
+    items = [(i, " ".join(words[i : i + 20])) for i in range(0, 380, 9)] + [(1000 + i, " ".join(words[:20])) for i in range(30)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[100:250])), (3, "q1 q2"), (4, None), (4, None)]
+    monkeypatch.setattr("gridcut.llm.decontaminate.AUTOMATON_BYTES", 2500)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = match_items(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n, hit, found = hits(dict(docs)[r.doc_id], items)
+        assert (r.n_words, r.item_ids) == (n, sorted(map(str, found)))
+        assert [p for a, b in r.hit_ranges for p in range(a, b)] == sorted(hit)
+
+
 def test_automaton_owns_windows_across_items():
     rnd = random.Random(1)
     for _ in range(30):
