@@ -6,7 +6,7 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcut.llm.common import numbered, stored
@@ -17,6 +17,8 @@ PART = 0.01
 BINS, SLACK = 1024, 0.002
 #: Hashes are taken modulo this when they order groups that agree in every dimension.
 TIES = 1 << 40
+#: Up to so many distinct values of a dimension (40 bytes each) are broadcast; beyond it the join shuffles.
+BROADCAST_CODES = 200_000
 
 
 @dataclass
@@ -44,10 +46,25 @@ class Node:
         return F.when(left, self.left.locate()).otherwise(self.right.locate())
 
 
-def _text_code(c: Column) -> Column:
-    """A text as a number in the order of its first six bytes; null before all."""
-    first = F.rpad(F.substring(F.hex(F.coalesce(c, F.lit(""))), 1, 12), 12, "0")
-    return F.conv(first, 16, 10).cast("double")
+def _key(c: Column) -> Column:
+    """Tells the values of a text column apart in 32 bytes; null has a key of its own."""
+    return F.coalesce(F.md5(c), F.lit(""))
+
+
+def rank_codes(docs: DataFrame, column: str) -> DataFrame:
+    """(key, code): each distinct value's rank among them, from 0, null first.
+
+    Distinct values are reduced before they are shuffled, and sorted in ranges; the ranges' counts
+    (one row for each partition) give the rank that a range begins with.
+    """
+    values = docs.select(F.col(f"`{column}`").cast("string").alias("value")).distinct()
+    ranges = values.repartitionByRange("value").sortWithinPartitions("value")
+    placed = stored(ranges.select(_key(F.col("value")).alias("key"), F.monotonically_increasing_id().alias("at")), "ranked_values")
+    placed = placed.select("key", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "range").select("key", (F.col("start") + F.col("row")).cast("double").alias("code"))
 
 
 def _place_large(large: list, target: float, shards: int) -> tuple[list[tuple], list[float]]:
@@ -161,8 +178,9 @@ def shard_documents(
     Size is the text's bytes and 8. Rows of equal texts form a group that stays in one shard, unless
     it is larger than a shard's share; such a group is cut into parts that fill a shard. Groups above
     PART of a share (their number is bounded by shards / PART) are placed largest first. All others
-    are split by a k-d tree over log size, smallest id and the given text columns: each level sums
-    histograms of all open nodes, and only those sums reach the driver. Slots number a shard's rows
+    are split by a k-d tree over log size, smallest id and the given text columns, ordered by the
+    ranks of their distinct values: each level sums histograms of all open nodes, and only those sums
+    reach the driver. Slots number a shard's rows
     from 0 by hashed buckets.
 
     Null texts have no bytes and are equal to the empty text. Null ids and repeated rows are rows
@@ -177,8 +195,13 @@ def shard_documents(
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("g1"),
         F.xxhash64(F.lit(1), body).alias("g2"),
-        *[_text_code(F.col(f"`{d}`")).alias(f"dim{k}") for k, d in enumerate(given)],
-    ).withColumn("uid", F.monotonically_increasing_id())
+        *[_key(F.col(f"`{d}`").cast("string")).alias(f"key{k}") for k, d in enumerate(given)],
+    )
+    for k, d in enumerate(given):
+        codes = stored(rank_codes(docs, d), "codes")
+        codes = F.broadcast(codes) if codes.count() <= BROADCAST_CODES else codes
+        rows = rows.join(codes.select(F.col("key").alias(f"key{k}"), F.col("code").alias(f"dim{k}")), f"key{k}", "left")
+    rows = rows.drop(*[f"key{k}" for k in range(len(given))]).withColumn("uid", F.monotonically_increasing_id())
     rows = stored(rows, "sized_rows")
     names = ["log_size", "least_id", *[f"dim{k}" for k in range(len(given))]]
     groups = rows.groupBy("g1", "g2").agg(
@@ -218,13 +241,14 @@ def _grow(small: DataFrame, room: list[float], dims: list[str], target: float) -
 def _numbered_rows(rows: DataFrame, routed: DataFrame, placed: list[tuple], target: float) -> DataFrame:
     spark = rows.sparkSession
     kind = "g1 long, g2 long, first long, last long, shard int"
-    whole = [p for p in placed if p[2] == 0]
     several = {p[:2] for p in placed if p[2] > 0}
-    single = spark.createDataFrame([p for p in whole if p[:2] not in several] or [], kind).select("g1", "g2", "shard")
+    single = spark.createDataFrame([p for p in placed if p[:2] not in several], kind).select("g1", "g2", "shard")
     parts = F.broadcast(spark.createDataFrame([p for p in placed if p[:2] in several], kind))
+    large = spark.createDataFrame(sorted({p[:2] for p in placed}), "g1 long, g2 long")
     narrow = rows.select("doc_id", "size", "text_crc32", "g1", "g2", "uid")
-    where = routed.unionByName(single)
-    easy = narrow.join(where, ["g1", "g2"])
+    # rows of large groups (at most shards / PART of them) never shuffle by their group
+    easy = narrow.join(F.broadcast(large), ["g1", "g2"], "left_anti").join(routed, ["g1", "g2"])
+    easy = easy.unionByName(narrow.join(F.broadcast(single), ["g1", "g2"]))
     out = easy.select("doc_id", "size", "text_crc32", "uid", "shard")
     if several:
         cut = narrow.join(F.broadcast(parts.select("g1", "g2").distinct()), ["g1", "g2"], "left_semi")

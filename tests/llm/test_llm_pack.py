@@ -1,5 +1,6 @@
 """Packing by exact round trip, sharding by its laws."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 from gridcut.llm.common import numbered
 from gridcut.llm.packing import Encoder, best_pattern, pack, plan_patterns
 from gridcut.llm.queries import word_tokenizer
-from gridcut.llm.sharding import shard_documents
+from gridcut.llm.sharding import rank_codes, shard_documents
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +155,26 @@ def test_many_short_documents_leave_little_padding(spark, tokenizer, text, token
     assert not tokens or got.sum() == tokens * len(docs)
     assert got.sum() >= 0.985 * 4096 * (len(got) - 1)
     assert not tokens or got.sum() >= 0.99 * 4096 * (len(got) - 1)
+
+
+def test_sources_with_a_common_beginning_are_told_apart(spark):
+    """Twelve equal bytes first: the tree still splits by the source, so few shards mix sources."""
+    rows = [(7, "same length %04d" % k, "l", f"https://host{k % 4}.example", "c") for k in range(1600)]
+    got = sharded(spark, rows, 4)
+    crc = {zlib.crc32(t.encode()): s for _, t, _, s, _ in rows}
+    mixed = {}
+    for r in got:
+        mixed.setdefault(r.shard, []).append(crc[r.text_crc32])
+    assert len(got) == 1600 and all(max(map(m.count, set(m))) >= 0.95 * len(m) for m in mixed.values())
+
+
+def test_codes_are_ranks(spark, monkeypatch):
+    values = [None, "", "a", "a", "https://b", "https://a", "É", "zz", *[f"source_{k:05d}" for k in range(300)]]
+    docs = spark.createDataFrame([(v,) for v in values], "`so.urce` string")
+    ranks = {v: k for k, v in enumerate(sorted(set(values), key=lambda v: (v is not None, (v or "").encode())))}
+    want = {hashlib.md5(v.encode()).hexdigest() if v is not None else "": float(k) for v, k in ranks.items()}
+    assert {r.key: r.code for r in rank_codes(docs, "so.urce").collect()} == want
+    rows = [(k, "t%05d" % k, None if k % 7 == 0 else "l", f"s{k % 5}", "c") for k in range(500)]
+    first = sharded(spark, rows, 4)
+    monkeypatch.setattr("gridcut.llm.sharding.BROADCAST_CODES", 0)
+    assert sorted((r.doc_id, r.shard) for r in sharded(spark, rows, 4)) == sorted((r.doc_id, r.shard) for r in first)
