@@ -65,6 +65,8 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, new in compute(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+        # the worker lives on for other tasks: what this one's batches held goes back
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema)
 

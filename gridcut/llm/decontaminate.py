@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -11,7 +10,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +21,8 @@ from gridcut.llm.common import append_columns, fresh_name, stored, texts_of, wor
 AUTOMATON_BYTES = 8 << 20
 #: A built automaton is stored in pieces of so many bytes, far below the limit of a Parquet cell.
 PIECE_BYTES = 16 << 20
+#: What no word holds, as in a character class of a pattern.
+NO_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 _NO_WORDS: dict[int, int] = {}
 
@@ -299,39 +300,41 @@ def _merged(found: DataFrame) -> DataFrame:
     return append_columns(found, T.StructType([T.StructField("hit_ranges", kind)]), compute).drop("parts_ranges")
 
 
+def _hit_words() -> Column:
+    return F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + F.get(r, F.lit(1)) - F.get(r, F.lit(0)))
+
+
 def with_verdict(matched: DataFrame, share: int = 20) -> DataFrame:
     """`n_hit` and `contaminated`: any word is hit, and at least one in `share` words."""
-    n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda s, r: s + F.get(r, F.lit(1)) - F.get(r, F.lit(0)))
-    return matched.withColumn("n_hit", n_hit).withColumn(
+    return matched.withColumn("n_hit", _hit_words()).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
     )
 
 
 def remove_spans(matched: DataFrame, text: str = "text", min_words: int = 13, max_share: float = 0.05) -> DataFrame:
-    """The text without hit spans of `min_words` or more; nothing is left of a document of which a
-    larger part than `max_share` is hit. Word ranges refer to the words of the text; what stands
-    between words around a removed span stays."""
-    schema = T.StructType([T.StructField("clean_text", T.StringType())])
-    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-    def compute(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            cols = [texts_of(batch, c) for c in (text, "hit_ranges", "n_words")]
-            out = []
-            for value, ranges, n in zip(*cols, strict=True):
-                hit = sum(b - a for a, b in ranges)
-                long = [(a, b) for a, b in ranges if b - a >= min_words]
-                if hit > max_share * n:
-                    out.append("")
-                elif not long:
-                    out.append(value)
-                else:
-                    at = [m.span() for m in word.finditer(value)]
-                    pieces, last = [], 0
-                    for a, b in long:
-                        pieces.append(value[last : at[a][0]])
-                        last = at[b - 1][1]
-                    out.append("".join([*pieces, value[last:]]))
-            yield batch, [pa.array(out, pa.string())]
-
-    return append_columns(matched, schema, compute)
+    """`clean_text`, the text without hit spans of `min_words` or more; nothing is left of a document of
+    which a larger part than `max_share` is hit. Word ranges refer to the words of the text; what stands
+    between words around a removed span stays.
+
+    DataFrame functions only, linear in the text: a text with such spans is split into its words, each
+    with what stands before it, and the words between spans are joined again. Null text stays null."""
+    value = F.col(f"`{text}`")
+    spans, units = fresh_name(matched, "_spans"), fresh_name(matched, "_units")
+    long = F.filter("hit_ranges", lambda r: F.get(r, F.lit(1)) - F.get(r, F.lit(0)) >= min_words)
+    split = F.when(F.size(spans) > 0, F.regexp_extract_all(value, F.lit(f"[{NO_WORD}]*[^{NO_WORD}]+"), F.lit(0)))
+
+    def end(at: Column) -> Column:
+        return F.coalesce(F.get(F.get(F.col(spans), at), F.lit(1)), F.lit(0)).cast("int")
+
+    def words(first: Column, to: Column) -> Column:
+        return F.array_join(F.slice(units, first + 1, to - first), "")
+
+    def before(span: Column, at: Column) -> Column:
+        start = F.get(span, F.lit(0)).cast("int")
+        return F.concat(words(end(at - 1), start), F.regexp_extract(F.get(F.col(units), start), f"^[{NO_WORD}]*", 0))
+
+    rest = words(end(F.size(spans) - 1), F.size(units))
+    tail = F.substring(value, F.length(F.array_join(units, "")) + 1, F.length(value))
+    clean = F.concat(F.array_join(F.transform(spans, before), ""), rest, tail)
+    clean = F.when(_hit_words() > F.col("n_words") * max_share, "").when(F.size(spans) > 0, clean).otherwise(value)
+    return matched.withColumn(spans, long).withColumn(units, split).withColumn("clean_text", clean).drop(spans, units)

@@ -144,6 +144,12 @@ def test_spans_go_and_the_rest_stays(spark):
     items = spark.createDataFrame([(1, words)], "item_id long, text string")
     got = {r.doc_id: r.clean_text for r in remove_spans(match_items(docs, items)).collect()}
     assert got == {1: "Start, here. ! End " + "pad " * 600, 2: "", 3: "none", 4: None}
+    pad = "Ä-pad\u2028x 日本😀\n " * 300
+    odd = [(1, words + "\n" + pad + "(" + words.upper() + ")" + pad + words), (2, pad + words + " \n\n"), (3, "\n" + words + "." + pad + "\n")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as _spans", "2 as _units")
+    got = {r.doc_id: r for r in remove_spans(match_items(docs, items), max_share=0.5).collect()}
+    assert [got[k].clean_text for k in (1, 2, 3)] == ["\n" + pad + "()" + pad, pad + " \n\n", "\n." + pad + "\n"]
+    assert (got[1]["_spans"], got[1]["_units"]) == (1, 2)
 
 
 def test_simhash_equals_plain_python(spark):
