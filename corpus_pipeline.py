@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcut.llm.common import stored
+from gridcut.llm.common import arrow_rows, stored
 from gridcut.llm.decontaminate import match_items, remove_spans, with_verdict
 from gridcut.llm.line_dedup import drop_frequent_lines
 from gridcut.llm.packing import pack
@@ -19,6 +19,8 @@ ORACLE_SQL = None
 #: Pre-tokens and chunks that a worker of the packing stage remembers: earlier stages' workers live on
 #: beside it, so it has less memory than packing alone.
 KEPT = (40_000, 60_000)
+#: Whole documents that travel between Spark and a worker at once.
+BATCH_ROWS = 500
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +67,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with arrow_rows(spark, BATCH_ROWS):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
