@@ -167,7 +167,7 @@ def emit_pending(
 ) -> list[date]:
     """Read the publications, emit every pending notice in one batch, and upsert the archive."""
     spine = default_spine(spark)
-    if sinks.exists(spark, archive):
+    if sinks.has_notices(spark, archive):
         known = sinks.read_notices(spark, archive)
     else:
         known = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("t0"))

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridcut.sources import commits
+
 NOTICE_PARTITION = "t0_chave"
 
 
@@ -31,34 +33,24 @@ def write_json(df: DataFrame, path: str) -> None:
 def upsert_notices(notices: DataFrame, path: str) -> None:
     """Replace the notices of the same `t0` and keep all others; repeating it changes nothing.
 
-    One folder per `t0`: only the folders of the new notices are rewritten, the archive is not.
+    One partition per `t0`: only those of the new notices are written, and they appear together
+    (`commits`), so an emission that stops half way leaves the archive as it was.
     """
     if notices.isEmpty():
         raise ValueError("empty notice: nothing to write")
     keyed = notices.withColumn(NOTICE_PARTITION, F.date_format("t0", "yyyyMMddHHmm"))
-    (
-        keyed.repartitionByRange(NOTICE_PARTITION, "fonte", "id_ons")
-        .sortWithinPartitions(NOTICE_PARTITION, "fonte", "id_ons")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(NOTICE_PARTITION)
-        .parquet(path)
-    )
+    commits.upsert(keyed, path, NOTICE_PARTITION, ["fonte", "id_ons"])
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
     """The whole archive; columns that older notices lack are NULL."""
-    return (
-        spark.read.option("mergeSchema", True).parquet(path).drop(NOTICE_PARTITION)
-    )
+    return commits.read(spark, path).drop(NOTICE_PARTITION)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def has_notices(spark: SparkSession, path: str) -> bool:
+    return commits.version(spark, path) > 0
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder with all it holds; nothing happens if it is not there."""
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

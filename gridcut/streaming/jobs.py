@@ -1,6 +1,5 @@
 """Incremental forms of the batch operators: republished files, cut episodes, notice upserts."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql.types import StructType
 
 from gridcut.operators.descriptive import episodes
 from gridcut.schemas import ENTITY, OBS_KEY
-from gridcut.sources.sinks import exists, remove, upsert_notices
+from gridcut.sources import commits
+from gridcut.sources.sinks import upsert_notices
 
 MONTH_PARTITION = "ano_mes_chave"
 
@@ -93,7 +93,7 @@ def maintain_cuts(targets: DataFrame, table: str, checkpoint: str, order: str |
 
 def stored_episodes(spark: SparkSession, table: str) -> DataFrame:
     """Cut episodes of all half hours that `maintain_cuts` has stored: the batch operator on them."""
-    slots = spark.read.parquet(table).select(*ENTITY, F.inline("instantes")).where("positivo")
+    slots = commits.read(spark, table).select(*ENTITY, F.inline("instantes")).where("positivo")
     return episodes(
         slots.select(*ENTITY, F.col("instante").alias("din_instante"), F.lit(True).alias("corte_positivo"))
     )
@@ -106,32 +106,21 @@ def _month(instant: str) -> Column:
 def _rewrite_months(
     fresh: DataFrame, table: str, combine: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Combine new rows with the stored rows of their months and overwrite those months.
+    """Combine new rows with the stored rows of their months; the months then appear together.
 
-    The result is first written beside the table, because a partition cannot be overwritten while it
-    is being read; that copy is removed at once.
+    Only those months are opened, and they are written once, to a folder of their own (`commits`): a
+    batch that stops half way leaves the table as it was. The version before stays for its readers.
     """
     spark = fresh.sparkSession
-    staging = f"{table}_lote_{uuid.uuid4().hex}"
-    fresh.write.parquet(f"{staging}/novas")
-    rows = spark.read.schema(fresh.schema).parquet(f"{staging}/novas")
-    if exists(spark, table):
-        touched = F.broadcast(rows.select(MONTH_PARTITION).distinct())
-        held = spark.read.parquet(table)
-        held = held.withColumn(MONTH_PARTITION, F.col(MONTH_PARTITION).cast("string"))
-        rows = held.join(touched, MONTH_PARTITION, "left_semi").unionByName(rows, allowMissingColumns=True)
-    combined = combine(rows)
-    combined.write.parquet(f"{staging}/juntas")
-    (
-        spark.read.schema(combined.schema)
-        .parquet(f"{staging}/juntas")
-        .repartitionByRange(MONTH_PARTITION, *ENTITY)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH_PARTITION)
-        .parquet(table)
-    )
-    remove(spark, staging)
+    fresh = fresh.persist()
+    at = commits.version(spark, table)
+    rows = fresh
+    if at:
+        months = [r[0] for r in fresh.select(MONTH_PARTITION).distinct().collect()]  # calendar-sized
+        rows = commits.read(spark, table, months, at).unionByName(fresh, allowMissingColumns=True)
+    commits.replace(combine(rows), table, MONTH_PARTITION, ENTITY, at)
+    commits.clean(spark, table)
+    fresh.unpersist()
 
 
 def _each_batch(stream: DataFrame, work: Callable, checkpoint: str) -> StreamingQuery:
