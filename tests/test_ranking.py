@@ -1,4 +1,5 @@
 import random
+import re
 import statistics
 from datetime import datetime, timedelta
 
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from gridcut.functions.neighbours import with_neighbours
 from gridcut.functions.ranking import exact_median, running_totals, take_first
+from gridcut.operators import asof
 from gridcut.operators.asof import asof_backward
+from gridcut.plans.catalog import QUERIES
 
 
 def test_running_totals_equal_a_plain_window(spark):
@@ -86,3 +89,16 @@ def test_asof_takes_the_whole_matched_row(spark):
         older = [r for r in table if r[0] == k and r[1] <= t]
         want = max(older, key=lambda r: r[1])[2:] if older else (None, None)
         assert got[i] == want
+
+
+def test_parts_of_the_asof_query_follow_its_rows(spark, monkeypatch):
+    """More rows give more tasks, not larger ones, in every shuffle; the session has four parts."""
+    build = QUERIES["asof_supplier_price"]
+    want = sorted(map(str, build(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(asof, "ROWS_PER_TASK", 500)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    got = build(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    parts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)]
+    assert len(parts) >= 5 and min(parts) >= rows // 500
+    assert sorted(map(str, got.collect())) == want
