@@ -68,8 +68,9 @@ def maintain_cuts(targets: DataFrame, table: str, checkpoint: str, order: str |
     keys = [*ENTITY, "dia", MONTH_PARTITION]
 
     def listed(rows: DataFrame) -> DataFrame:
-        """Rows of single half hours as one row a day; of each half hour the latest state."""
-        latest = rows.groupBy(*keys, "instante").agg(F.max(F.struct("ordem", "positivo")).alias("s"))
+        """Rows of single half hours as one row a day; of each half hour the latest state. One shuffle."""
+        dealt = rows.repartition(*keys)
+        latest = dealt.groupBy(*keys, "instante").agg(F.max(F.struct("ordem", "positivo")).alias("s"))
         state = F.struct("instante", "s.ordem", "s.positivo")
         return latest.groupBy(*keys).agg(F.array_sort(F.collect_list(state)).alias("instantes"))
 
@@ -84,7 +85,14 @@ def maintain_cuts(targets: DataFrame, table: str, checkpoint: str, order: str |
         fresh = (fresh if order else fresh.where("positivo")).withColumn(MONTH_PARTITION, _month("dia"))
 
         def unite(rows: DataFrame) -> DataFrame:
-            return listed(rows.select(*keys, F.inline("instantes")))
+            """Lists of the same day, the stored one and the new one, as one: states of a half hour lie
+            side by side in the sorted list, the latest of them last."""
+            states = rows.groupBy(*keys).agg(
+                F.array_sort(F.flatten(F.collect_list("instantes"))).alias("instantes")
+            )
+            following = lambda i: F.get("instantes", i + 1)["instante"]
+            latest = F.filter("instantes", lambda s, i: ~s["instante"].eqNullSafe(following(i)))
+            return states.withColumn("instantes", latest)
 
         _rewrite_months(listed(fresh), table, unite)
 
