@@ -29,9 +29,8 @@ def asof_backward(
     buckets is carried over from a table with one row per (key, bucket). No cartesian product, and
     one key's rows are spread over its buckets. `(by, on)` must be unique in `table`.
 
-    The stacked rows are dealt once, and both the windows and the buckets' last rows read that shuffle.
-    `partitions` says into how many parts; a caller that knows its rows sets it (`tasks_for`), so that
-    a task's memory does not follow the input. Without it the session decides.
+    `partitions` says into how many parts the stacked rows are dealt; a caller that knows its rows sets
+    it (`tasks_for`), so that a task's memory does not follow the input. Without it the session decides.
     """
     parts = [partitions] if partitions else []
     extra = [c for c in probes.columns if c not in {*by, on}]
